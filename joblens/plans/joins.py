@@ -1,0 +1,76 @@
+"""Joins that stay balanced when many rows on the left ask for the same key."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from joblens.plans import sampling
+
+SALT = "_salt"
+
+# Null keys match nothing, so their rows may go anywhere.
+NULL_KEY_WAYS = 4096
+
+
+class Salted:
+    """Rows of `left` with a salt: rows of a hot key are dealt out over several salts.
+
+    `row_id` tells the rows apart. Join `rows` to `copies(right)` on `on`, which has the salt in it
+    when the input is large.
+    """
+
+    def __init__(
+        self,
+        left: DataFrame,
+        key: list[str],
+        row_id: list[str],
+        spread: bool | None = None,
+        sample_rows: int = sampling.SAMPLE_ROWS,
+        rows_per_sample: int = sampling.ROWS_PER_SAMPLE,
+    ):
+        self.key = key
+        self.spread = sampling.is_large(left) if spread is None else spread
+        self.rows, self.on = left, key
+        if not self.spread:
+            return
+        narrow = left.select(*dict.fromkeys([*key, *row_id]))
+        sample = sampling.sampled(narrow, row_id, sample_rows, rows_per_sample)
+        # Broadcast is safe: hot keys have several rows each of a sample of bounded size.
+        self.hot = F.broadcast(sampling.hot_keys(sample, key))
+        ways = F.coalesce("_samples", F.lit(1))
+        for name in key:
+            ways = F.when(F.col(name).isNull(), F.lit(NULL_KEY_WAYS)).otherwise(ways)
+        self.rows = (
+            left.join(self.hot, key, "left")
+            .withColumn(SALT, F.pmod(F.xxhash64(*row_id), ways))
+            .drop("_samples")
+        )
+        self.on = [*key, SALT]
+
+    def copies(self, right: DataFrame) -> DataFrame:
+        """`right` with one copy per salt of its key."""
+        if not self.spread:
+            return right
+        last_salt = F.coalesce("_samples", F.lit(1)) - 1
+        return (
+            right.join(self.hot, self.key, "left")
+            .withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), last_salt)))
+            .drop("_samples")
+        )
+
+    @staticmethod
+    def done(rows: DataFrame) -> DataFrame:
+        return rows.drop(SALT)
+
+
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    key: list[str],
+    row_id: list[str],
+    how: str = "left",
+    spread: bool | None = None,
+    **sizes,
+) -> DataFrame:
+    """Join `left` to `right` (inner, left, left_semi or left_anti) with hot keys of `left` salted."""
+    salted = Salted(left, key, row_id, spread, **sizes)
+    return salted.done(salted.rows.join(salted.copies(right), salted.on, how))

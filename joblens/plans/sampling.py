@@ -1,0 +1,37 @@
+"""A sample of bounded size that shows which keys are hot and where to cut them."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Inputs estimated below this run as plain windows and joins: one task can hold any key of them.
+LARGE_BYTES = 1 << 30
+
+# About this many rows are sampled in all, so whatever is built from them stays small.
+SAMPLE_ROWS = 50_000
+
+# No more than one row in this many is sampled, so small inputs are not cut to pieces.
+ROWS_PER_SAMPLE = 1_000_000
+
+# A key with this many sampled rows is hot.
+HOT_SAMPLES = 4
+
+HASH_RANGE = 1 << 31
+
+
+def is_large(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate says that one task might not hold a hot key of `df`."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) >= LARGE_BYTES
+
+
+def sampled(df: DataFrame, row_id: list[str], sample_rows: int, rows_per_sample: int) -> DataFrame:
+    """Rows whose hash of `row_id` falls under the rate. The same rows on every run and retry."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rate = F.least(F.lit(1.0 / rows_per_sample), F.lit(float(sample_rows)) / total)
+    return df.where(F.pmod(F.xxhash64(*row_id), F.lit(HASH_RANGE)) < rate * HASH_RANGE)
+
+
+def hot_keys(sample: DataFrame, key: list[str]) -> DataFrame:
+    """Keys with several sampled rows and how many they have. At most a few per hundred samples."""
+    counts = sample.dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("_samples"))
+    return counts.where(F.col("_samples") >= HOT_SAMPLES)
