@@ -5,6 +5,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joblens.functions.columns import once
+
 # An entry runs up to the next '&'; its key runs up to the first '='.
 ENTRY_WITHOUT_VALUE = r"(?:^|&)[^=&]*(?:&|\z)"
 ENTRY_KEY = r"(?:^|&)([^=&]*)=[^&]*"
@@ -37,15 +39,6 @@ def path_parts(path: Column) -> Column:
     return F.array_remove(F.split(path, "/"), "")
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row, however often later steps and filters use them.
-
-    The optimizer copies projected expressions into every use. It does not copy a generator's.
-    """
-    row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def query_value(query: Column, key: str) -> Column:
     """Value of `key` in a decoded query, null when absent."""
     entry = rf"(?:^|&){key}=([^&]*)"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblens.functions import names, urls
+from joblens.functions.columns import once
 from joblens.functions.urls import Url
 from joblens.plans.ordered import numbered
 
@@ -111,7 +112,7 @@ def match_videos(df: DataFrame, rules: Sequence[Rule] = RULES, video: str = "vid
     matches = [rule(url) for rule in rules]
     columns = {f"_id{n}": match.id for n, match in enumerate(matches)}
     columns |= {f"_error{n}": match.error_code for n, match in enumerate(matches)}
-    rows = urls.without_url(urls.once(parsed, **columns))
+    rows = urls.without_url(once(parsed, **columns))
     provider = video_id = error_code = None
     for n, match in reversed(list(enumerate(matches))):
         error, found = F.col(f"_error{n}"), F.col(f"_id{n}")

@@ -11,23 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from joblens.functions.columns import once
 from joblens.plans import sampling
 
 CHUNK = "_chunk"
 IS_HOT = "_is_hot"
-MAX_POINT_BITS = 20
-
-
-def points_before(points: Column, value: Column) -> Column:
-    """How many of the sorted points are at or before the value, by halving steps."""
-    steps = F.array(*[F.lit(1 << bit) for bit in range(MAX_POINT_BITS, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            F.try_element_at(points, found + step) <= value, found + step
-        ).otherwise(found),
-    )
+# Steps of the search for a row's chunk. Each looks at three points, so this finds 4**9 of them.
+SEARCH_STEPS = 9
+
+
+def with_chunk(rows: DataFrame, points: Column, value: Column) -> DataFrame:
+    """Add CHUNK: 0, or for hot rows one more than how many sorted points are at or before the value.
+
+    One projection per step keeps the search in generated code, where the points are one shared
+    object; they are dropped before the rows go anywhere.
+    """
+    names = [name for name in rows.columns if name != IS_HOT]
+    rows = rows.withColumn("_points", points).withColumn("_passed", F.lit(0))
+    for step in (4**power for power in range(SEARCH_STEPS - 1, -1, -1)):
+        passed = F.col("_passed")
+        for ahead in (step, 2 * step, 3 * step):
+            is_before = F.try_element_at("_points", F.col("_passed") + ahead) <= value
+            passed = passed + F.when(is_before, step).otherwise(0)
+        rows = rows.withColumn("_passed", F.when(F.col(IS_HOT), passed).otherwise(0))
+    chunk = F.when(F.col(IS_HOT), F.col("_passed") + 1).otherwise(0)
+    return once(rows, **{CHUNK: chunk}).select(*names, CHUNK)
 
 
 class Chunks:
@@ -61,17 +69,11 @@ class Chunks:
         marked = df.join(F.broadcast(hot), key, "left").withColumn(
             IS_HOT, F.coalesce(IS_HOT, F.lit(False))
         )
-        self.rows = marked.withColumn(
-            CHUNK, F.when(F.col(IS_HOT), points_before(points, self.at())).otherwise(0)
-        )
-
-    def _parts(self) -> list[str]:
-        # IS_HOT follows from the key. Naming it lets a filter on it pass below the windows.
-        return [*self.key, CHUNK, IS_HOT]
+        self.rows = with_chunk(marked, points, self.at())
 
     def whole(self) -> WindowSpec:
         """All rows of a chunk."""
-        return Window.partitionBy(*(self._parts() if self.spread else self.key))
+        return Window.partitionBy(*([*self.key, CHUNK] if self.spread else self.key))
 
     def ordered(self) -> WindowSpec:
         """The rows of a chunk in order."""
@@ -94,19 +96,20 @@ class Chunks:
         by, so the rows are not shuffled again.
         """
         chunks = (
-            rows.where(IS_HOT)
-            .groupBy(*self._parts())
+            rows.where(F.col(CHUNK) > 0)
+            .groupBy(*self.key, CHUNK)
             .agg(*[column.alias(name) for name, column in summary.items()])
         )
         over_chunks = Window.partitionBy(*self.key).orderBy(CHUNK)
         outlook = chunks.select(
-            *self._parts(),
+            *self.key,
+            CHUNK,
             *[column.alias(name) for name, column in carried(over_chunks).items()],
         )
-        return rows.join(outlook, self._parts(), "left")
+        return rows.join(outlook, [*self.key, CHUNK], "left")
 
     def done(self, rows: DataFrame) -> DataFrame:
-        return rows.drop(CHUNK, IS_HOT)
+        return rows.drop(CHUNK)
 
 
 def numbered(
