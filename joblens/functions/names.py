@@ -4,12 +4,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: characters that may not appear in a store name.
-UNSAFE_CHARACTERS = r'[/\\?%*:|"<>]'
+UNSAFE_CHARACTERS = '/\\?%*:|"<>'
 
 
 def store_name(provider: Column, video_id: Column) -> Column:
     """Dedup key of a video. Null when either part is null."""
-    return F.regexp_replace(F.concat(provider, F.lit("-"), video_id), UNSAFE_CHARACTERS, "_")
+    name = F.concat(provider, F.lit("-"), video_id)
+    return F.translate(name, UNSAFE_CHARACTERS, "_" * len(UNSAFE_CHARACTERS))
 
 
 def strip_id(file_name: Column, video_id: Column) -> Column:
