@@ -58,20 +58,25 @@ def explode_path_parts(df: DataFrame, row_id: str, url: str = "url") -> DataFram
     return parsed.select(row_id, F.posexplode(parts.path_parts).alias("pos", "part"))
 
 
-def explode_query_params(
-    df: DataFrame, row_id: str, url: str = "url"
-) -> tuple[DataFrame, DataFrame]:
-    """((row_id, key, value), (row_id, error_code)): a query with any bad entry gives no pairs."""
+def check_query_params(df: DataFrame, row_id: str, url: str = "url") -> DataFrame:
+    """(row_id, key, value, error_code): the pairs of each query, or one row with its error."""
     parsed, parts = urls.with_url(df.select(row_id, url), url)
     rows = parsed.where(parts.is_valid).select(
         row_id,
         parts.query.alias("_text"),
         urls.query_error(parts.query).alias("error_code"),
     )
-    good, bad = split_errors(rows)
-    entries = good.select(row_id, F.explode(F.split("_text", "&")).alias("_entry"))
+    entries = F.when(F.col("error_code").isNull(), F.split("_text", "&"))
+    exploded = rows.select(row_id, "error_code", F.explode_outer(entries).alias("_entry"))
     pair = F.split("_entry", "=", 2)
-    pairs = entries.select(row_id, pair[0].alias("key"), pair[1].alias("value"))
+    return exploded.select(row_id, pair[0].alias("key"), pair[1].alias("value"), "error_code")
+
+
+def explode_query_params(
+    df: DataFrame, row_id: str, url: str = "url"
+) -> tuple[DataFrame, DataFrame]:
+    """((row_id, key, value), (row_id, error_code)): a query with any bad entry gives no pairs."""
+    pairs, bad = split_errors(check_query_params(df, row_id, url))
     return pairs, bad.select(row_id, "error_code")
 
 

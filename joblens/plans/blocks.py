@@ -37,8 +37,8 @@ def within_ranges(
     its day and its long block, so each pair meets in exactly one block.
     """
     long_ms = day_ms * DAYS_PER_BLOCK
-    span = points.agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
+    span = points.agg(F.struct(F.min(at).alias("low"), F.max(at).alias("high"))).scalar()
+    low, high = span.getField("low"), span.getField("high")
     closed = ranges.withColumn("_from", F.greatest(F.coalesce("from_ms", low), low)).withColumn(
         "_to", F.least(F.coalesce("to_ms", high + 1), high + 1)
     )

@@ -66,8 +66,7 @@ def explode_path_parts(spark, sf_dir):
 
 @query
 def explode_query_params(spark, sf_dir):
-    pairs, bad = resolve.explode_query_params(table(spark, sf_dir, "pages"), "page_id")
-    return pairs.unionByName(bad, allowMissingColumns=True)
+    return resolve.check_query_params(table(spark, sf_dir, "pages"), "page_id")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -18,20 +19,24 @@ def stream_split_logs(stream: DataFrame) -> DataFrame:
 
     def advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         waiting, sent = state.get if state.exists else (b"", 0)
-        rows = pd.concat(list(frames)).sort_values("part")
-        text = bytes(waiting) + b"".join(rows["piece"])
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        pieces = rows["piece"].to_numpy()[rows["part"].to_numpy().argsort(kind="stable")]
+        text = bytes(waiting) + b"".join(pieces)
         tokens = text.replace(b"\r", b"\n\r\n").split(b"\n")
         waiting = tokens.pop()
         if waiting and rows["is_last"].any():
             tokens.append(waiting)
             waiting = b""
         state.update((waiting, sent + len(tokens)))
+        if not tokens:
+            return
         returns = [token == b"\r" for token in tokens]
         yield pd.DataFrame(
             {
                 "job_id": key[0],
-                "seq": range(sent, sent + len(tokens)),
-                "name": [carriage_return if is_return else line for is_return in returns],
+                "seq": np.arange(sent, sent + len(tokens)),
+                "name": np.where(returns, carriage_return, line),
                 "data": [
                     "" if is_return else token.decode("utf-8", "replace")
                     for token, is_return in zip(tokens, returns)

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,17 @@ def stream_transitions(stream: DataFrame) -> DataFrame:
 
     def advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, sent = state.get if state.exists else (first_status, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "version"])
-        changed = rows[rows["status"] != rows["status"].shift(fill_value=last)]
-        state.update((rows["status"].iloc[-1], sent + len(changed)))
-        yield changed.assign(seq=range(sent, sent + len(changed)))[
-            ["job_id", "seq", "status", "ts", "version"]
-        ]
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        rows = rows.iloc[np.lexsort((rows["version"], rows["ts"]))]
+        status = rows["status"].to_numpy()
+        changed = status != np.concatenate(([last], status[:-1]))
+        count = int(changed.sum())
+        state.update((status[-1], sent + count))
+        if count:
+            rows = rows[changed]
+            rows.insert(1, "seq", np.arange(sent, sent + count))
+            yield rows
 
     types = dict(stream.dtypes)
     output = (
@@ -53,14 +59,23 @@ def stream_canonical(stream: DataFrame) -> DataFrame:
 
     def advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         active = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "version"])
-        is_submit = rows["kind"] == submit
-        starts = is_submit & ~is_submit.shift(fill_value=active is not None)
-        owner = rows["version"].astype("Int64").where(starts).ffill()
-        if active is not None:
-            owner = owner.fillna(active)
-        state.update((int(owner.iloc[-1]) if is_submit.iloc[-1] else None,))
-        yield rows.assign(canonical=owner)[is_submit][["version", "store_name", "canonical"]]
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        rows = rows.iloc[np.lexsort((rows["version"], rows["ts"]))]
+        version, is_submit = rows["version"].to_numpy(), (rows["kind"] == submit).to_numpy()
+        starts = is_submit & ~np.concatenate(([active is not None], is_submit[:-1]))
+        # Position of the latest start, -1 while the job from earlier batches still owns the rows.
+        latest = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), -1))
+        owner = np.where(latest < 0, active or 0, version[latest])
+        state.update((int(owner[-1]) if is_submit[-1] else None,))
+        if is_submit.any():
+            yield pd.DataFrame(
+                {
+                    "version": version[is_submit],
+                    "store_name": key[0],
+                    "canonical": owner[is_submit],
+                }
+            )
 
     relevant = stream.where(F.col("kind").isin(SUBMIT, FAILED, DELETE))
     return (
