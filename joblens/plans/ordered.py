@@ -16,24 +16,23 @@ from joblens.plans import sampling
 
 CHUNK = "_chunk"
 IS_HOT = "_is_hot"
-# Steps of the search for a row's chunk. Each looks at three points, so this finds 4**9 of them.
-SEARCH_STEPS = 9
+# Halving steps of the search for a row's chunk: enough for 2**17 points.
+SEARCH_STEPS = 17
 
 
 def with_chunk(rows: DataFrame, points: Column, value: Column) -> DataFrame:
     """Add CHUNK: 0, or for hot rows one more than how many sorted points are at or before the value.
 
     One projection per step keeps the search in generated code, where the points are one shared
-    object; they are dropped before the rows go anywhere.
+    object; they are dropped before the rows go anywhere. A step has a single comparison so that
+    the generated method stays small enough to be compiled.
     """
     names = [name for name in rows.columns if name != IS_HOT]
-    rows = rows.withColumn("_points", points).withColumn("_passed", F.lit(0))
-    for step in (4**power for power in range(SEARCH_STEPS - 1, -1, -1)):
-        passed = F.col("_passed")
-        for ahead in (step, 2 * step, 3 * step):
-            is_before = F.try_element_at("_points", F.col("_passed") + ahead) <= value
-            passed = passed + F.when(is_before, step).otherwise(0)
-        rows = rows.withColumn("_passed", F.when(F.col(IS_HOT), passed).otherwise(0))
+    rows = rows.withColumns({"_points": points, "_value": value, "_passed": F.lit(0)})
+    for step in (1 << bit for bit in range(SEARCH_STEPS - 1, -1, -1)):
+        ahead = F.col("_passed") + step
+        is_before = F.col(IS_HOT) & (F.try_element_at("_points", ahead) <= F.col("_value"))
+        rows = rows.withColumn("_passed", F.when(is_before, ahead).otherwise(F.col("_passed")))
     chunk = F.when(F.col(IS_HOT), F.col("_passed") + 1).otherwise(0)
     return once(rows, **{CHUNK: chunk}).select(*names, CHUNK)
 
