@@ -11,10 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(rows: DataFrame, name: str) -> DataFrame:
-    """Writes rows to the folder that all executors share and reads them back; cuts the lineage."""
+    """Writes rows to the folder that all executors share and reads them back; cuts the lineage.
+
+    The shuffle files behind the rows are no longer needed then. Spark drops them when the driver
+    collects its garbage, which is asked for here, so that a long query does not pile them up."""
     spark = rows.sparkSession
     path = scratch_dir(spark, name)
     rows.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -1,16 +1,18 @@
 """Near-duplicate line removal by an exact set-similarity join.
 
-A line is the set of its white-space separated tokens. Of two lines whose Jaccard similarity is at
+A line is the set of its tokens, which are separated by spaces. Of two lines whose Jaccard similarity is at
 least `SIMILAR` (a ratio), the later one goes; later is by doc_id, then the stored order of rows,
 then the place in the text. Equal token sets form a class, whose first line stands for it.
 
 The join orders the tokens of a line by rarity. Similar lines share one of their first tokens
 (prefix filter), their lengths are near (length filter) and enough tokens follow the first shared
-one (positional filter); the remaining pairs are verified on the lines themselves. Where a prefix
-token is frequent, the key is that token with a second one from a prefix longer by one, which
+one (positional filter). A line also carries a 64-bit sketch, the parity of its tokens per hash
+value: two sketches differ in no more bits than the sets do in tokens, which rules out most other
+pairs. The remaining ones are verified on the lines themselves. Where a prefix is frequent, the key is that token with a second one from a prefix longer by one, which
 similar lines share too; so frequent tokens do not bring unrelated lines together.
 
-Rarity comes from the counts of all tokens, kept per hash bucket: a table of fixed size.
+Rarity comes from the counts of all tokens, kept per hash bucket: a table of fixed size. Any fixed
+order gives the same result; a better one brings fewer candidates.
 Everything is built-in column functions.
 
 Defined results: null text is empty and stays null; lines without tokens always stay; a text whose
@@ -22,7 +24,7 @@ are; texts and lines of any length are read whole.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblens.llm.common import numbered, saved, table, text_of
+from joblens.llm.common import numbered, saved, table
 
 SIMILAR = (4, 5)
 BUCKETS = 1 << 16
@@ -30,11 +32,10 @@ HASH_BITS = 47
 #: A bucket with this many times the mean count is frequent.
 FREQUENT = 4
 WORDS = 1 << 16
-BLANK = r"[\s]+"
 
 
 def tokens_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANK), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,8 +50,8 @@ def bucket_ranks(lines: DataFrame) -> tuple[list[int], int]:
     """(rank of each hash bucket by the count of its tokens, the first rank that is frequent).
     BUCKETS rows come to the driver, whatever the size of the table."""
     counted = (
-        lines.select(F.explode(tokens_of(F.col("line"))).alias("token"))
-        .groupBy(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        lines.select(F.explode(F.split("line", " ")).alias("token"))
+        .groupBy(F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
@@ -67,14 +68,16 @@ def bucket_ranks(lines: DataFrame) -> tuple[list[int], int]:
 
 def ordered_tokens(line: Column, ranks: list[int]) -> Column:
     """The distinct tokens as numbers, rarest first: the bucket's rank, then hash bits."""
-    table_ = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    shifted = ",".join(str(rank << HASH_BITS) for rank in ranks)
+    table_ = F.split(F.lit(shifted), ",").cast("array<bigint>")
 
     def number(token: Column) -> Column:
         hashed = F.xxhash64(token)
-        rank = F.element_at(table_, F.pmod(hashed, F.lit(BUCKETS)).cast("int") + 1)
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        rank = table_.getItem(hashed.bitwiseAND(F.lit(BUCKETS - 1)))
+        return rank + hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform(tokens_of(line), number)))
+    numbers = F.array_distinct(F.transform(F.split(line, " "), number))
+    return F.sort_array(F.array_remove(numbers, number(F.lit(""))))
 
 
 def ceil_ratio(column: Column, numerator: int, denominator: int) -> Column:
@@ -91,86 +94,121 @@ def index_prefix(size: Column, similar: tuple[int, int]) -> Column:
     return size - ceil_ratio(size, 2 * similar[0], similar[0] + similar[1]) + 1
 
 
-def classes(lines: DataFrame, ranks: list[int], similar: tuple[int, int]) -> DataFrame:
-    """(first, size, prefix): a row per distinct token set, with the place of its first line, and
-    the tokens of the probe prefix and one more."""
+def classes(
+    lines: DataFrame, ranks: list[int], frequent: int, similar: tuple[int, int]
+) -> DataFrame:
+    """(id, first, size, prefix, sketch, sketch2), stored: a row per distinct token set, with the place of
+    its first line. prefix has 31 hash bits for each token of the probe prefix and one more, negative
+    for a frequent token."""
     # generators keep the optimizer from copying the token array into every use of it
     held = lines.select(
         F.struct("ord", "uid", "line_no").alias("at"),
         F.explode(F.array(ordered_tokens(F.col("line"), ranks))).alias("tokens"),
     ).where(F.size("tokens") > 0)
     size = F.size("tokens")
-    return (
+    most = (1 << 31) - 1
+
+    def key(token: Column) -> Column:
+        bits = token.bitwiseAND(F.lit(most)).cast("int")
+        return F.when(token >= F.lit(frequent << HASH_BITS), -1 - bits).otherwise(bits)
+
+    prefix = F.transform(F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1), key)
+
+    def sketch(shift: int) -> Column:
+        # the shift by a long number takes its lowest six bits
+        return F.aggregate(
+            "tokens",
+            F.lit(0).cast("long"),
+            lambda bits, token: bits.bitwiseXOR(
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(token, shift).cast("int"))
+            ),
+        )
+
+    found = (
         held.select(
             "at",
             size.alias("size"),
-            F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1).alias("prefix"),
+            prefix.alias("prefix"),
+            sketch(20).alias("sketch"),
+            sketch(30).alias("sketch2"),
             F.xxhash64("tokens").alias("a"),
             F.xxhash64("tokens", F.lit(1)).alias("b"),
         )
         .groupBy("a", "b")
-        .agg(F.min("at").alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        .select("first", "size", "prefix")
+        .agg(
+            F.min("at").alias("first"),
+            F.first("size").alias("size"),
+            F.first("prefix").alias("prefix"),
+            F.first("sketch").alias("sketch"),
+            F.first("sketch2").alias("sketch2"),
+        )
+        .select(
+            F.monotonically_increasing_id().alias("id"), "first", "size", "prefix", "sketch", "sketch2"
+        )
     )
+    return saved(found, "line-classes")
 
 
-def postings(found: DataFrame, frequent: int, similar: tuple[int, int]) -> DataFrame:
-    """(key, i, j, size, ord, uid, line_no) for the prefix tokens of classes. i is the place of the
-    token, j that of the second one in the key, or i."""
+def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(key, i, j, size, id, sketch) for the prefix tokens of classes. i is the place of the token,
+    j that of the second one in the key, or i."""
     num, den = similar
     # a shorter set than this has no similar set but itself
-    able = found.where(F.col("size") * (num + den) >= 2 * num * F.col("size") - num)
-    able = able.where(F.col("size") * den >= num * (F.col("size") + 1) - num)
+    able = found.where(F.col("size") * den >= num * (F.col("size") + 1))
     able = able.withColumn("p", probe_prefix(F.col("size"), similar))
-    limit = F.lit(frequent << HASH_BITS)
-
-    def keys(token: Column, i: Column) -> Column:
-        pair = F.transform(
-            F.sequence(i + 1, F.col("p")),
-            lambda j: F.struct(
-                F.xxhash64(token, F.element_at("prefix", j + 1)).alias("key"),
-                i.alias("i"),
-                j.alias("j"),
-            ),
-        )
-        single = F.array(F.struct(token.alias("key"), i.alias("i"), i.alias("j")))
-        # with one token in the set there is no second one; such sets only equal themselves
-        return F.when(token >= limit, F.when(F.size("prefix") > F.col("p"), pair)).otherwise(single)
-
-    each = F.transform(F.slice("prefix", F.lit(1), F.col("p")), keys)
-    return able.select(
-        F.col("first.ord").alias("ord"),
-        F.col("first.uid").alias("uid"),
-        F.col("first.line_no").alias("line_no"),
+    each = able.select(
+        "id",
+        "sketch",
         "size",
-        F.inline(F.flatten(F.filter(each, lambda a: a.isNotNull()))),
+        "p",
+        "prefix",
+        F.posexplode(F.slice("prefix", F.lit(1), F.col("p"))).alias("i", "token"),
+    )
+    pairs = F.transform(
+        F.sequence(F.col("i") + 1, F.col("p")),
+        lambda j: F.struct(F.hash("token", F.element_at("prefix", j + 1)).alias("key"), j.alias("j")),
     )
+    single = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("j")))
+    keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "j")
+    return each.select("id", "sketch", "size", "i", keys)
 
 
 def candidate_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(early, late), places of classes that pass the prefix, length and positional filters."""
+    """(a, b), ids of classes that pass the prefix, length, positional and sketch filters."""
     num, den = similar
     x, y = rows.alias("x"), rows.alias("y")
-    own = F.struct("x.ord", "x.uid", "x.line_no")
-    other = F.struct("y.ord", "y.uid", "y.line_no")
     shorter = (F.col("x.size") < F.col("y.size")) | (
-        (F.col("x.size") == F.col("y.size")) & (own < other)
+        (F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))
     )
     near = F.col("x.size") * den >= F.col("y.size") * num
     indexed = index_prefix(F.col("x.size"), similar)
-    in_index = (F.col("x.i") < indexed) & (F.col("x.j") <= indexed)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & shorter & near & in_index)
+    # never true, and not known before the join: so both sides are read from one exchange
+    unknown = F.col("y.i") + F.col("y.j") < 0
+    in_index = ((F.col("x.i") < indexed) & (F.col("x.j") <= indexed)) | unknown
+    both = F.col("x.size") + F.col("y.size")
+    # holds for the first token that similar lines share, so no pair is lost
     rest = F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i"))
-    pairs = met.select(
-        F.struct(F.col("x.ord").alias("ord"), F.col("x.uid").alias("uid"), F.col("x.line_no").alias("line_no")).alias("a"),
-        F.struct(F.col("y.ord").alias("ord"), F.col("y.uid").alias("uid"), F.col("y.line_no").alias("line_no")).alias("b"),
-        (F.col("x.size") + F.col("y.size")).alias("both"),
-        rest.alias("rest"),
+    enough = rest * (num + den) >= both * num
+    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    close = apart * (num + den) <= both * (den - num)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & shorter & near & in_index & enough & close)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def placed(pairs: DataFrame, found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(early, late): the places of the first lines of both classes, where the second sketch
+    leaves the pair possible."""
+    num, den = similar
+    own = [F.col(c) for c in ("first", "size", "sketch2")]
+    one = found.select(F.col("id").alias("a"), F.struct(*own).alias("one"))
+    two = found.select(F.col("id").alias("b"), F.struct(*own).alias("two"))
+    met = pairs.join(one, "a").join(two, "b")
+    apart = F.bit_count(F.col("one.sketch2").bitwiseXOR(F.col("two.sketch2")))
+    close = apart * (num + den) <= (F.col("one.size") + F.col("two.size")) * (den - num)
+    return met.where(close).select(
+        F.least("one.first", "two.first").alias("early"),
+        F.greatest("one.first", "two.first").alias("late"),
     )
-    # the first shared token leaves the most room, so the largest rest is the one that counts
-    first = pairs.groupBy("a", "b", "both").agg(F.max("rest").alias("rest"))
-    enough = first.where(F.col("rest") * (num + den) >= num * F.col("both"))
-    return enough.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -185,15 +223,13 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
     bits = wanted.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     marked = lines.withColumn("word", word).join(F.broadcast(bits), "word")
     likely = marked.where(F.call_function("bit_get", F.col("bits"), bit) == 1)
-    texts = likely.select("uid", "line_no", "line").join(wanted, ["uid", "line_no"])
-    token_set = F.array_distinct(tokens_of(F.col("line")))
-    texts = saved(texts.select("uid", "line_no", token_set.alias("tokens")), "line-texts")
+    texts = saved(likely.select("uid", "line_no", "line").join(wanted, ["uid", "line_no"]), "line-texts")
 
     def side(name: str) -> DataFrame:
         return texts.select(
             F.col("uid").alias(f"{name}_uid"),
             F.col("line_no").alias(f"{name}_no"),
-            F.col("tokens").alias(f"{name}_tokens"),
+            F.col("line").alias(f"{name}_line"),
         )
 
     flat = pairs.select(
@@ -203,10 +239,22 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
         F.col("late.line_no").alias("late_no"),
     )
     met = flat.join(side("early"), ["early_uid", "early_no"]).join(side("late"), ["late_uid", "late_no"])
-    shared = F.size(F.array_intersect("early_tokens", "late_tokens"))
-    both = F.size("early_tokens") + F.size("late_tokens")
-    good = met.where(shared * (num + den) >= num * both)
-    return good.select(F.col("late_uid").alias("uid"), F.col("late_no").alias("line_no")).distinct()
+    sets = met.select(
+        "late_uid",
+        "late_no",
+        F.explode(
+            F.array(
+                F.struct(
+                    F.array_distinct(tokens_of(F.col("early_line"))).alias("one"),
+                    F.array_distinct(tokens_of(F.col("late_line"))).alias("two"),
+                )
+            )
+        ).alias("of"),
+    )
+    shared = F.size(F.array_intersect("of.one", "of.two"))
+    good = sets.where(shared * (num + den) >= num * (F.size("of.one") + F.size("of.two")))
+    later = good.select(F.col("late_uid").alias("uid"), F.col("late_no").alias("line_no"))
+    return saved(later.distinct(), "lines-similar")
 
 
 def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -214,43 +262,41 @@ def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
     if 2 * similar[0] <= similar[1]:
         raise ValueError("similar lines must share two tokens: the ratio must exceed 1/2")
     lines = lines_of(docs)
-    ranks, frequent = bucket_ranks(lines)
-    found = saved(classes(lines, ranks, similar), "line-classes")
-    pairs = saved(
-        candidate_pairs(postings(found, frequent, similar), similar), "line-pairs"
-    )
+    found = classes(lines, *bucket_ranks(lines), similar)
+    pairs = saved(candidate_pairs(postings(found, similar), similar), "line-pairs")
+    pairs = saved(placed(pairs, found, similar), "line-places")
     firsts = found.select("first.uid", "first.line_no")
     return firsts.join(verified(pairs, lines, similar), ["uid", "line_no"], "left_anti")
 
 
 def dedup_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(row, text, lines, dropped): each row with its text after the removal, the number of its
-    lines and of those that went."""
+    """(row, text, n_lines, n_dropped): each row without its text, the text after the removal,
+    the number of its lines and of those that went."""
     stays = kept_lines(docs, similar).groupBy("uid").agg(F.collect_list("line_no").alias("stays"))
-    rows = numbered(docs)
     lines = F.split("row.text", "\n", -1)
     blank = F.filter(
-        F.transform(lines, lambda line, i: F.when(~F.rlike(line, F.lit(r"\S")), i)),
-        lambda i: i.isNotNull(),
+        F.transform("lines", lambda line, i: F.when(F.trim(line) == "", i)), lambda i: i.isNotNull()
+    )
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
+    cut = numbered(docs).select(
+        "uid", F.struct(*others).alias("row"), lines.alias("lines")
     )
-    cut = rows.select("uid", "row", lines.alias("lines"), blank.alias("blank"))
     met = cut.join(stays, "uid", "left")
     none = F.array().cast("array<int>")
-    places = F.sort_array(F.concat(F.coalesce("blank", none), F.coalesce("stays", none)))
+    places = F.sort_array(F.concat(F.coalesce(blank, none), F.coalesce("stays", none)))
     left = met.select("row", "lines", F.explode(F.array(places)).alias("places"))
     text = F.array_join(F.transform("places", lambda i: F.element_at("lines", i + 1)), "\n")
+    known = F.col("lines").isNotNull()
     return left.select(
         "row",
-        F.when(F.col("row.text").isNotNull(), text).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("lines") - F.size("places"), F.lit(0)).alias("n_dropped"),
+        F.when(known, text).alias("text"),
+        F.when(known, F.size("lines")).otherwise(0).alias("n_lines"),
+        F.when(known, F.size("lines") - F.size("places")).otherwise(0).alias("n_dropped"),
     )
 
 
 def op8_line_similarity_join(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select(
-        F.col("row.doc_id").alias("doc_id"),
-        F.when(F.col("row.text").isNotNull(), F.col("n_lines")).otherwise(0).alias("n_lines"),
-        F.when(F.col("row.text").isNotNull(), F.col("n_dropped")).otherwise(0).alias("n_dropped"),
-        "text",
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text"
     )

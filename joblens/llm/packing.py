@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joblens.llm.common import saved
+from joblens.llm.common import partitions, saved, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -274,8 +274,9 @@ def solve(items: DataFrame, blocks: int, turn: int, capacity: int, islands: int)
     state = problems.select("block", "lengths", isles).withColumn(
         "population", F.lit(None).cast("array<binary>")
     )
-    # spread over tasks by both numbers: an island is a few milliseconds to seconds of work
-    state = state.repartition("block", "island")
+    # a number of partitions is given, as an island is long work on few bytes
+    tasks = partitions(items.sparkSession)
+    state = state.repartition(tasks, "block", "island")
     schema = "block long, island int, bins binary, n_bins int"
     for epoch in range(EPOCHS):
         last = epoch == EPOCHS - 1
@@ -289,6 +290,7 @@ def solve(items: DataFrame, blocks: int, turn: int, capacity: int, islands: int)
                 F.array_sort(F.collect_list("bins")).alias("population")
             )
             state = grouped.join(problems.select("block", "lengths"), "block")
+            state = state.repartition(tasks, "block", "island")
     best = population.groupBy("block").agg(
         F.min(F.struct("n_bins", "bins"))["bins"].alias("bins")
     )
@@ -352,8 +354,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
 
 
 def op1_grouping_genetic_packing(spark, sf_dir: str) -> DataFrame:
-    from joblens.llm.common import table
-
     pieces = saved(
         token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "packing-pieces"
     )
