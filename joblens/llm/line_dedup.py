@@ -115,12 +115,15 @@ def classes(
     prefix = F.transform(F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1), key)
 
     def sketch(shift: int) -> Column:
-        # the shift by a long number takes its lowest six bits
         return F.aggregate(
             "tokens",
             F.lit(0).cast("long"),
             lambda bits, token: bits.bitwiseXOR(
-                F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(token, shift).cast("int"))
+                F.call_function(
+                    "shiftleft",
+                    F.lit(1).cast("long"),
+                    F.shiftright(token, shift).bitwiseAND(F.lit(63)).cast("int"),
+                )
             ),
         )
 
