@@ -215,7 +215,7 @@ def placed(pairs: DataFrame, found: DataFrame, similar: tuple[int, int]) -> Data
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(uid, line_no) of the later lines of pairs that are similar indeed."""
+    """(uid, line_no) of the lines that are similar indeed to an earlier one."""
     num, den = similar
     wanted = pairs.select(F.explode(F.array("early", "late")).alias("at")).distinct()
     wanted = wanted.select("at.uid", "at.line_no")
@@ -230,34 +230,37 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
 
     def side(name: str) -> DataFrame:
         return texts.select(
-            F.col("uid").alias(f"{name}_uid"),
-            F.col("line_no").alias(f"{name}_no"),
-            F.col("line").alias(f"{name}_line"),
+            F.struct("uid", "line_no").alias(name), F.col("line").alias(f"{name}_line")
         )
 
-    flat = pairs.select(
-        F.col("early.uid").alias("early_uid"),
-        F.col("early.line_no").alias("early_no"),
-        F.col("late.uid").alias("late_uid"),
-        F.col("late.line_no").alias("late_no"),
-    )
-    met = flat.join(side("early"), ["early_uid", "early_no"]).join(side("late"), ["late_uid", "late_no"])
-    sets = met.select(
-        "late_uid",
-        "late_no",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.array_distinct(tokens_of(F.col("early_line"))).alias("one"),
-                    F.array_distinct(tokens_of(F.col("late_line"))).alias("two"),
+    def similar_late(some: DataFrame) -> DataFrame:
+        flat = some.select(
+            F.struct("early.uid", "early.line_no").alias("one"),
+            F.struct("late.uid", "late.line_no").alias("two"),
+        )
+        met = flat.join(side("one"), "one").join(side("two"), "two")
+        sets = met.select(
+            "two",
+            F.explode(
+                F.array(
+                    F.struct(
+                        F.array_distinct(tokens_of(F.col("one_line"))).alias("one"),
+                        F.array_distinct(tokens_of(F.col("two_line"))).alias("two"),
+                    )
                 )
-            )
-        ).alias("of"),
-    )
-    shared = F.size(F.array_intersect("of.one", "of.two"))
-    good = sets.where(shared * (num + den) >= num * (F.size("of.one") + F.size("of.two")))
-    later = good.select(F.col("late_uid").alias("uid"), F.col("late_no").alias("line_no"))
-    return saved(later.distinct(), "lines-similar")
+            ).alias("of"),
+        )
+        shared = F.size(F.array_intersect("of.one", "of.two"))
+        good = sets.where(shared * (num + den) >= num * (F.size("of.one") + F.size("of.two")))
+        return saved(good.select("two.*").distinct(), "lines-similar")
+
+    # one similar line is enough to drop the later one, and the earliest candidate mostly is; the
+    # other pairs are only read for lines that are still open
+    first = saved(pairs.groupBy("late").agg(F.min("early").alias("early")), "line-first-pairs")
+    dropped = similar_late(first)
+    is_open = F.struct("late.uid", "late.line_no") == F.struct(dropped["uid"], dropped["line_no"])
+    still = pairs.join(dropped, is_open, "left_anti").join(first, ["late", "early"], "left_anti")
+    return dropped.union(similar_late(still))
 
 
 def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
