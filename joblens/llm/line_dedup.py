@@ -31,7 +31,9 @@ BUCKETS = 1 << 16
 HASH_BITS = 47
 #: A bucket with this many times the mean count is frequent.
 FREQUENT = 4
+#: Words of the bit table of asked-for lines, and of the wide sketch of a line.
 WORDS = 1 << 16
+WIDE = 16
 
 
 def tokens_of(line: Column) -> Column:
@@ -254,13 +256,45 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
         good = sets.where(shared * (num + den) >= num * (F.size("of.one") + F.size("of.two")))
         return saved(good.select("two.*").distinct(), "lines-similar")
 
+    def possible(some: DataFrame) -> DataFrame:
+        """Pairs that a wide sketch of the lines leaves possible: the long ones need it."""
+        words = texts.select(
+            F.struct("uid", "line_no").alias("key"),
+            F.explode(F.array_distinct(tokens_of(F.col("line")))).alias("token"),
+        ).select("key", F.xxhash64("token").alias("h"))
+        bit = F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.shiftright("h", 8).bitwiseAND(F.lit(63)).cast("int")
+        )
+        word = F.col("h").bitwiseAND(F.lit(WIDE - 1))
+        wide = [F.bit_xor(F.when(word == w, bit)).alias(f"w{w}") for w in range(WIDE)]
+        marks = words.groupBy("key").agg(F.count("*").alias("size"), *wide)
+
+        def side(name: str) -> DataFrame:
+            bits = [F.coalesce(f"w{w}", F.lit(0)).alias(f"w{w}") for w in range(WIDE)]
+            return marks.select(F.col("key").alias(name), F.struct("size", *bits).alias(f"{name}_bits"))
+
+        keyed = some.withColumns(
+            {
+                "one": F.struct("early.uid", "early.line_no"),
+                "two": F.struct("late.uid", "late.line_no"),
+            }
+        )
+        met = keyed.join(side("one"), "one").join(side("two"), "two")
+        apart = sum(
+            (F.bit_count(F.col(f"one_bits.w{w}").bitwiseXOR(F.col(f"two_bits.w{w}"))) for w in range(WIDE)),
+            F.lit(0),
+        )
+        both = F.col("one_bits.size") + F.col("two_bits.size")
+        close = met.where(apart * (num + den) <= both * (den - num))
+        return saved(close.select("early", "late"), "line-open-pairs")
+
     # one similar line is enough to drop the later one, and the earliest candidate mostly is; the
     # other pairs are only read for lines that are still open
     first = saved(pairs.groupBy("late").agg(F.min("early").alias("early")), "line-first-pairs")
     dropped = similar_late(first)
     is_open = F.struct("late.uid", "late.line_no") == F.struct(dropped["uid"], dropped["line_no"])
     still = pairs.join(dropped, is_open, "left_anti").join(first, ["late", "early"], "left_anti")
-    return dropped.union(similar_late(still))
+    return dropped.union(similar_late(possible(still)))
 
 
 def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
