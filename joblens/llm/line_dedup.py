@@ -31,6 +31,8 @@ BUCKETS = 1 << 16
 HASH_BITS = 47
 #: A bucket with this many times the mean count is frequent.
 FREQUENT = 4
+#: So many tokens of a line look for the earliest line that shares them.
+RAREST = 3
 #: Words of the bit table of asked-for lines, and of the wide sketch of a line.
 WORDS = 1 << 16
 WIDE = 16
@@ -87,15 +89,10 @@ def ceil_ratio(column: Column, numerator: int, denominator: int) -> Column:
 
 
 def probe_prefix(size: Column, similar: tuple[int, int]) -> Column:
-    """Tokens among which a line shares one with any similar line that is not longer."""
+    """Tokens among which a line shares one with any similar line."""
     return size - ceil_ratio(size, similar[0], similar[1]) + 1
 
 
-def index_prefix(size: Column, similar: tuple[int, int]) -> Column:
-    """The same towards similar lines that are not shorter."""
-    return size - ceil_ratio(size, 2 * similar[0], similar[0] + similar[1]) + 1
-
-
 def classes(
     lines: DataFrame, ranks: list[int], frequent: int, similar: tuple[int, int]
 ) -> DataFrame:
@@ -155,7 +152,7 @@ def classes(
 
 
 def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(key, i, j, size, id, sketch) for the prefix tokens of classes. i is the place of the token,
+    """(key, i, j, size, id, ord, sketch) for the prefix tokens of classes. i is the place of the token,
     j that of the second one in the key, or i."""
     num, den = similar
     # a shorter set than this has no similar set but itself
@@ -163,6 +160,7 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     able = able.withColumn("p", probe_prefix(F.col("size"), similar))
     each = able.select(
         "id",
+        F.col("first.ord").alias("ord"),
         "sketch",
         "size",
         "p",
@@ -175,49 +173,73 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     )
     single = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("j")))
     keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "j")
-    return each.select("id", "sketch", "size", "i", keys)
+    return each.select("id", "ord", "sketch", "size", "i", keys)
 
 
-def candidate_pairs(rows: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b), ids of classes that pass the prefix, length, positional and sketch filters."""
+def near_enough(x: str, y: str, similar: tuple[int, int]) -> Column:
+    """The length and the sketch filter."""
     num, den = similar
-    x, y = rows.alias("x"), rows.alias("y")
-    shorter = (F.col("x.size") < F.col("y.size")) | (
-        (F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id"))
+    both = F.col(f"{x}.size") + F.col(f"{y}.size")
+    least = F.least(f"{x}.size", f"{y}.size") * den >= F.greatest(f"{x}.size", f"{y}.size") * num
+    apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
+    return least & (apart * (num + den) <= both * (den - num))
+
+
+def star_pairs(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b), ids: a class and the earliest of those that share one of its rarest tokens, so as
+    many pairs as tokens at most. Most copies of a line are settled by these."""
+    rare = found.select(
+        F.explode(F.slice("prefix", 1, RAREST)).alias("key"),
+        F.struct(F.col("first.ord").alias("ord"), "id", "size", "sketch").alias("x"),
     )
-    near = F.col("x.size") * den >= F.col("y.size") * num
-    indexed = index_prefix(F.col("x.size"), similar)
-    # never true, and not known before the join: so both sides are read from one exchange
-    unknown = F.col("y.i") + F.col("y.j") < 0
-    in_index = ((F.col("x.i") < indexed) & (F.col("x.j") <= indexed)) | unknown
+    stars = rare.groupBy("key").agg(F.min("x").alias("y"))
+    met = rare.join(stars, "key")
+    other = F.col("x.id") != F.col("y.id")
+    return (
+        met.where(other & near_enough("x", "y", similar))
+        .select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+        .distinct()
+    )
+
+
+def candidate_pairs(found: DataFrame, settled: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b), ids of classes that pass the prefix, length, positional and sketch filters, where
+    the later one, b by the order of documents, is not settled."""
+    num, den = similar
+    still = found.join(settled, "id", "left_anti")
+    x, y = postings(still, similar).alias("x"), postings(found, similar).alias("y")
     both = F.col("x.size") + F.col("y.size")
     # holds for the first token that similar lines share, so no pair is lost
     rest = F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i"))
     enough = rest * (num + den) >= both * num
-    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
-    close = apart * (num + den) <= both * (den - num)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & shorter & near & in_index & enough & close)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    earlier = (F.col("y.ord") <= F.col("x.ord")) & (F.col("y.id") != F.col("x.id"))
+    met = x.join(
+        y, (F.col("x.key") == F.col("y.key")) & earlier & enough & near_enough("x", "y", similar)
+    )
+    return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
 
 def placed(pairs: DataFrame, found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(early, late): the places of the first lines of both classes, where the second sketch
-    leaves the pair possible."""
+    """(early, late, id), stored: the places of the first lines of both classes and the id of the
+    later one, where the second sketch leaves the pair possible."""
     num, den = similar
-    own = [F.col(c) for c in ("first", "size", "sketch2")]
+    own = [F.col(c) for c in ("first", "size", "sketch2", "id")]
     one = found.select(F.col("id").alias("a"), F.struct(*own).alias("one"))
     two = found.select(F.col("id").alias("b"), F.struct(*own).alias("two"))
     met = pairs.join(one, "a").join(two, "b")
     apart = F.bit_count(F.col("one.sketch2").bitwiseXOR(F.col("two.sketch2")))
     close = apart * (num + den) <= (F.col("one.size") + F.col("two.size")) * (den - num)
-    return met.where(close).select(
+    early = F.col("one.first") < F.col("two.first")
+    turned = met.where(close).select(
         F.least("one.first", "two.first").alias("early"),
         F.greatest("one.first", "two.first").alias("late"),
+        F.when(early, F.col("two.id")).otherwise(F.col("one.id")).alias("id"),
     )
+    return saved(turned.distinct(), "line-places")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(uid, line_no) of the lines that are similar indeed to an earlier one."""
+    """(id) of the classes whose first line is similar indeed to an earlier line."""
     num, den = similar
     wanted = pairs.select(F.explode(F.array("early", "late")).alias("at")).distinct()
     wanted = wanted.select("at.uid", "at.line_no")
@@ -237,12 +259,13 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
 
     def similar_late(some: DataFrame) -> DataFrame:
         flat = some.select(
+            "id",
             F.struct("early.uid", "early.line_no").alias("one"),
             F.struct("late.uid", "late.line_no").alias("two"),
         )
         met = flat.join(side("one"), "one").join(side("two"), "two")
         sets = met.select(
-            "two",
+            "id",
             F.explode(
                 F.array(
                     F.struct(
@@ -254,7 +277,7 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
         )
         shared = F.size(F.array_intersect("of.one", "of.two"))
         good = sets.where(shared * (num + den) >= num * (F.size("of.one") + F.size("of.two")))
-        return saved(good.select("two.*").distinct(), "lines-similar")
+        return saved(good.select("id").distinct(), "lines-similar")
 
     def possible(some: DataFrame) -> DataFrame:
         """Pairs that a wide sketch of the lines leaves possible: the long ones need it."""
@@ -286,14 +309,13 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: tuple[int, int]) -> Da
         )
         both = F.col("one_bits.size") + F.col("two_bits.size")
         close = met.where(apart * (num + den) <= both * (den - num))
-        return saved(close.select("early", "late"), "line-open-pairs")
+        return saved(close.select("id", "early", "late"), "line-open-pairs")
 
     # one similar line is enough to drop the later one, and the earliest candidate mostly is; the
     # other pairs are only read for lines that are still open
-    first = saved(pairs.groupBy("late").agg(F.min("early").alias("early")), "line-first-pairs")
+    first = saved(pairs.groupBy("id", "late").agg(F.min("early").alias("early")), "line-first-pairs")
     dropped = similar_late(first)
-    is_open = F.struct("late.uid", "late.line_no") == F.struct(dropped["uid"], dropped["line_no"])
-    still = pairs.join(dropped, is_open, "left_anti").join(first, ["late", "early"], "left_anti")
+    still = pairs.join(dropped, "id", "left_anti").join(first, ["id", "early"], "left_anti")
     return dropped.union(similar_late(possible(still)))
 
 
@@ -303,10 +325,11 @@ def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
         raise ValueError("similar lines must share two tokens: the ratio must exceed 1/2")
     lines = lines_of(docs)
     found = classes(lines, *bucket_ranks(lines), similar)
-    pairs = saved(candidate_pairs(postings(found, similar), similar), "line-pairs")
-    pairs = saved(placed(pairs, found, similar), "line-places")
-    firsts = found.select("first.uid", "first.line_no")
-    return firsts.join(verified(pairs, lines, similar), ["uid", "line_no"], "left_anti")
+    stars = placed(saved(star_pairs(found, similar), "line-stars"), found, similar)
+    settled = verified(stars, lines, similar)
+    pairs = saved(candidate_pairs(found, settled, similar), "line-pairs")
+    similar_ones = settled.union(verified(placed(pairs, found, similar), lines, similar))
+    return found.join(similar_ones, "id", "left_anti").select("first.uid", "first.line_no")
 
 
 def dedup_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
