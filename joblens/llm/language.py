@@ -137,7 +137,9 @@ def train(docs: DataFrame, usable) -> Model | None:
     )
     counts = rows.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("uid", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(counts, "lang").where(draw * F.col("count") < ROWS_PER_LANGUAGE)
+    # drawn without the texts; about ROWS_PER_LANGUAGE numbers for each language remain
+    drawn = rows.select("uid", "lang").join(counts, "lang").where(draw * F.col("count") < ROWS_PER_LANGUAGE)
+    sample = rows.join(F.broadcast(drawn.select("uid")), "uid", "left_semi")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

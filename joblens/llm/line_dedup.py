@@ -109,7 +109,8 @@ def classes(
 
     def key(token: Column) -> Column:
         bits = token.bitwiseAND(F.lit(most)).cast("int")
-        return F.when(token >= F.lit(frequent << HASH_BITS), -1 - bits).otherwise(bits)
+        least = min(frequent << HASH_BITS, (1 << 63) - 1)  # the latter if no bucket is frequent
+        return F.when(token >= F.lit(least), -1 - bits).otherwise(bits)
 
     prefix = F.transform(F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1), key)
 

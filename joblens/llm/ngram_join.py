@@ -7,8 +7,8 @@ threshold meet in some trie with the target probability. Nodes that meet form a
 nodes are verified against each other exactly, in blocks of bounded size, so candidates are never
 listed as pairs, and what the forest misses within a component is found too.
 
-Defined results: null text is empty; texts without words are equal to each other; a text of fewer than five words is one shingle; equal texts are linked; repeated rows are nodes'
-members as any; null doc_ids are kept and sort last; an empty table gives an empty result; extra
+Defined results: null text is empty; texts without words are equal to each other; a text of fewer
+than five words is one shingle; equal texts are linked; repeated rows are members as any; null doc_ids are kept and sort last; an empty table gives an empty result; extra
 columns are ignored; texts of any length are read whole.
 """
 
