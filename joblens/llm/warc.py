@@ -82,9 +82,10 @@ def record(row: dict, payload: bytes) -> bytes:
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def pages_to_archive(pages: DataFrame) -> DataFrame:
+def pages_to_archive(pages: DataFrame, files: int | None = None) -> DataFrame:
     """(uid, page_id, url, payload, digest, size, first): first names the response that a
-    revisit refers to."""
+    revisit refers to. With files, rows are dealt out by uid before the join, which needs no other
+    shuffle of the payloads then."""
     html = F.encode(F.coalesce(F.col("row.html"), F.lit("")), "utf-8")
     rows = numbered(pages).select(
         "uid",
@@ -109,7 +110,10 @@ def pages_to_archive(pages: DataFrame) -> DataFrame:
         .where(F.col("uid") != F.col("best.uid"))
         .select("uid", first.alias("first"))
     )
-    return rows.withColumn("page_id", F.col("page_id").cast("string")).join(revisits, "uid", "left")
+    named = rows.withColumn("page_id", F.col("page_id").cast("string"))
+    if files:
+        named = named.repartition(files, "uid")
+    return named.join(revisits, "uid", "left")
 
 
 def train(pages: DataFrame) -> bytes:
@@ -134,8 +138,7 @@ def train(pages: DataFrame) -> bytes:
 def write(pages: DataFrame, path: str) -> None:
     """Archives of about FILE_BYTES of payload under path, named *.warc.zst.txt by Spark."""
     dictionary = train(pages)
-    rows = pages_to_archive(pages)
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -154,8 +157,7 @@ def write(pages: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     files = max(1, total // FILE_BYTES)
-    spread = rows.repartition(files, "uid")
-    archived = spread.mapInArrow(frames, "frame binary")
+    archived = pages_to_archive(pages, files).mapInArrow(frames, "frame binary")
     archived.select(F.col("frame").cast("string")).write.option("lineSep", BETWEEN).text(path)
 
 
