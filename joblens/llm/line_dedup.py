@@ -153,7 +153,7 @@ def classes(
 
 
 def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(key, i, j, size, id, ord, sketch) for the prefix tokens of classes. i is the place of the token,
+    """(key, i, j, size, id, ord, open, sketch) for the prefix tokens of classes. i is the place of the token,
     j that of the second one in the key, or i."""
     num, den = similar
     # a shorter set than this has no similar set but itself
@@ -162,6 +162,7 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     each = able.select(
         "id",
         F.col("first.ord").alias("ord"),
+        "open",
         "sketch",
         "size",
         "p",
@@ -174,7 +175,7 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     )
     single = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("j")))
     keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "j")
-    return each.select("id", "ord", "sketch", "size", "i", keys)
+    return each.select("id", "ord", "open", "sketch", "size", "i", keys)
 
 
 def near_enough(x: str, y: str, similar: tuple[int, int]) -> Column:
@@ -207,15 +208,19 @@ def candidate_pairs(found: DataFrame, settled: DataFrame, similar: tuple[int, in
     """(a, b), ids of classes that pass the prefix, length, positional and sketch filters, where
     the later one, b by the order of documents, is not settled."""
     num, den = similar
-    still = found.join(settled, "id", "left_anti")
-    x, y = postings(still, similar).alias("x"), postings(found, similar).alias("y")
+    marked = found.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+    rows = postings(marked.withColumn("open", F.col("settled").isNull()), similar)
+    x, y = rows.alias("x"), rows.alias("y")
+    # the second part is never true, and not known before the join: so both sides, which differ
+    # by nothing, are read from one exchange
+    probing = F.col("x.open") | (F.col("y.i") + F.col("y.j") < 0) & ~F.col("y.open")
     both = F.col("x.size") + F.col("y.size")
     # holds for the first token that similar lines share, so no pair is lost
     rest = F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i"))
     enough = rest * (num + den) >= both * num
     earlier = (F.col("y.ord") <= F.col("x.ord")) & (F.col("y.id") != F.col("x.id"))
     met = x.join(
-        y, (F.col("x.key") == F.col("y.key")) & earlier & enough & near_enough("x", "y", similar)
+        y, (F.col("x.key") == F.col("y.key")) & probing & earlier & enough & near_enough("x", "y", similar)
     )
     return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
