@@ -75,11 +75,20 @@ def stale_results(
 ) -> DataFrame:
     """Result files to delete. Only lists them.
 
-    `disconnected` (see `audit_disconnects`) adds the store names whose job has gone missing.
+    `disconnected` (see `audit_disconnects`) adds the store names whose job has gone missing and
+    which were submitted again after that entry.
     """
     stores = stale_stores(changes, spread, **sizes)
     if disconnected is not None:
-        stores = stores.unionByName(disconnected.select("store_name")).distinct()
+        submitted = (
+            changes.where(F.col("kind") == SUBMIT)
+            .groupBy("store_name")
+            .agg(F.max(F.struct(*ORDER)).alias("_submitted"))
+        )
+        again = disconnected.join(submitted, "store_name").where(
+            F.col("_submitted") > F.struct(*[disconnected[c] for c in ORDER])
+        )
+        stores = stores.unionByName(again.select("store_name")).distinct()
     return files.join(stores, "store_name", "left_semi")
 
 
@@ -112,7 +121,10 @@ def split_cached(
 
 
 def classify_outcomes(results: DataFrame) -> DataFrame:
-    """Add `status` and `failure_reason` of finished runs."""
+    """Add `status`, `failure_reason` and `error_code` of finished runs.
+
+    A run without an exit code or an exception has no status, and an `error_code` instead.
+    """
     reason = (
         F.when(
             F.col("exception_text").isNotNull(), F.concat(F.lit("Error: "), F.col("exception_text"))
@@ -123,8 +135,13 @@ def classify_outcomes(results: DataFrame) -> DataFrame:
         )
         .when(F.col("result_name").isNull(), "Error: no result given")
     )
-    return results.withColumn("failure_reason", reason).withColumn(
-        "status", F.when(F.col("failure_reason").isNull(), SUCCESSFUL).otherwise(FAILED)
+    unknown = F.col("exit_code").isNull() & F.col("exception_text").isNull()
+    return results.withColumns(
+        {
+            "failure_reason": F.when(~unknown, reason),
+            "status": F.when(~unknown, F.when(reason.isNull(), SUCCESSFUL).otherwise(FAILED)),
+            "error_code": F.when(unknown, "exit_code.missing"),
+        }
     )
 
 

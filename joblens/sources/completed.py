@@ -7,14 +7,9 @@ from joblens.schemas import COMPLETED
 from joblens.sources import snapshots
 
 
-def _next_version(spark: SparkSession, path: str) -> int:
-    parts = snapshots.live_parts(spark, path)
-    return snapshots.part_version(parts[-1]) + 1 if parts else 0
-
-
 def _append(df: DataFrame, path: str, version: int | None) -> None:
     if version is None:
-        version = _next_version(df.sparkSession, path)
+        version = snapshots.next_version(df.sparkSession, path)
     snapshots.append_part(df.withColumn("commit", F.lit(version).cast("bigint")), path, version)
 
 

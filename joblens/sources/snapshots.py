@@ -4,6 +4,7 @@ Readers follow the pointer, so they see either the old or the new state, never h
 """
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,28 +53,54 @@ def publish(spark: SparkSession, path: str, parts: list[str]) -> None:
     context.rename(files.makeQualified(fresh), files.makeQualified(pointer), options)
 
 
-def part_name(kind: str, version: int) -> str:
-    return f"{kind}-{version:018d}"
+def part_name(kind: str, version: int, writer: str = "") -> str:
+    """A folder that no other attempt uses: what readers see is never written again."""
+    return f"{kind}-{version:018d}-{writer}-{uuid.uuid4().hex}"
 
 
 def part_version(part: str) -> int:
-    return int(part.rsplit("-", 1)[1])
+    return int(part.split("-")[1])
 
 
-def write_record_store(df: DataFrame, path: str, version: int = 0) -> None:
-    """Replace the whole state. Writing the same version again gives the same state."""
-    part = part_name("base", version)
-    df.write.mode("overwrite").parquet(f"{path}/{part}")
-    publish(df.sparkSession, path, [part])
+def part_writer(part: str) -> str:
+    return part.split("-")[2]
 
 
-def append_part(df: DataFrame, path: str, version: int) -> None:
-    """Add rows to the state. A version that is already in does nothing."""
+def next_version(spark: SparkSession, path: str) -> int:
+    parts = live_parts(spark, path)
+    return part_version(parts[-1]) + 1 if parts else 0
+
+
+def _refuse_older(parts: list[str], version: int) -> None:
+    if parts and part_version(parts[-1]) > version:
+        raise ValueError(f"version {version} comes after version {part_version(parts[-1])}")
+
+
+def write_record_store(
+    df: DataFrame, path: str, version: int | None = None, writer: str = ""
+) -> None:
+    """Replace the whole state; a version that is the last one already stays as it is."""
+    spark = df.sparkSession
+    if version is None:
+        version = next_version(spark, path)
+    parts = live_parts(spark, path)
+    _refuse_older(parts, version)
+    if len(parts) == 1 and part_version(parts[0]) == version:
+        return
+    part = part_name("base", version, writer)
+    df.write.parquet(f"{path}/{part}")
+    publish(spark, path, [part])
+
+
+def append_part(df: DataFrame, path: str, version: int, writer: str = "") -> None:
+    """Add rows to the state. A version that is in already does nothing; one that is missing among
+    the earlier ones is an error, as its rows would be lost."""
     parts = live_parts(df.sparkSession, path)
-    if parts and part_version(parts[-1]) >= version:
+    if version in map(part_version, parts):
         return
-    part = part_name("delta", version)
-    df.write.mode("overwrite").parquet(f"{path}/{part}")
+    _refuse_older(parts, version)
+    part = part_name("delta", version, writer)
+    df.write.parquet(f"{path}/{part}")
     publish(df.sparkSession, path, [*parts, part])
 
 

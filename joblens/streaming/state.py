@@ -1,5 +1,7 @@
 """Streaming status transitions, submission reuse and upserts."""
 
+import hashlib
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,17 +99,22 @@ def upsert_stream(
     """Start a query that keeps the latest row per key in a versioned table at `path`.
 
     A batch adds only its own latest rows; every `merge_every` batches they are folded into one.
-    A batch that runs again changes nothing.
+    A batch that runs again changes nothing. Batch numbers belong to a checkpoint: those of another
+    one are added under versions of their own, and rows that are in already stay the latest.
     """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parts = snapshots.live_parts(spark, path)
-        if parts and snapshots.part_version(parts[-1]) >= batch_id:
+        own = [p for p in map(snapshots.part_writer, parts) if p.startswith(f"{writer}.")]
+        if any(int(p.split(".")[1]) >= batch_id for p in own):
             return
-        snapshots.append_part(latest_by(batch, key), path, batch_id)
+        version, mark = snapshots.next_version(spark, path), f"{writer}.{batch_id}"
+        snapshots.append_part(latest_by(batch, key), path, version, mark)
         if len(parts) + 1 >= merge_every:
-            snapshots.write_record_store(read_upserts(spark, path, key), path, batch_id)
+            rows = read_upserts(spark, path, key)
+            snapshots.write_record_store(rows, path, version, mark)
 
     return (
         stream.writeStream.foreachBatch(upsert)

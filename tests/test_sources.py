@@ -136,3 +136,14 @@ def test_records_round_trip(spark):
     broken = spark.createDataFrame([("{",), ('{"version":"x"}',), (None,)], "record string")
     back, bad = records.decode_records(broken, df.schema)
     assert back.count() == 0 and bad.count() == 3
+
+
+def test_a_lower_version_is_refused_and_old_readers_keep_their_state(spark, tmp_path):
+    path = str(tmp_path / "store")
+    snapshots.write_record_store(spark.range(3), path)
+    reader = snapshots.read_parts(spark, path)
+    snapshots.write_record_store(snapshots.read_parts(spark, path).where("id > 0"), path)
+    assert reader.count() == 3 and snapshots.read_parts(spark, path).count() == 2
+    snapshots.append_part(spark.range(2), path, 5)
+    with pytest.raises(ValueError, match="comes after"):
+        snapshots.append_part(spark.range(2), path, 3)

@@ -52,17 +52,35 @@ def test_split_cached(spark):
     assert rows_of(misses.select("submission_id")) == [(2,)]
 
 
-def test_disconnected_store_names_are_stale(spark):
-    changes = spark.createDataFrame([], "store_name string, kind string, ts int, version int")
-    files = spark.createDataFrame([("s", 1), ("t", 2)], "store_name string, length int")
-    gone = state.audit_disconnects(
-        spark.createDataFrame([("s", "a"), ("t", "b")], "store_name string, job_id string"),
-        spark.createDataFrame([("b",)], "job_id string"),
+def test_disconnected_store_names_are_stale_once_submitted_again(spark):
+    schema = "store_name string, kind string, ts int, version int"
+    files = spark.createDataFrame([("s", 1), ("t", 2), ("u", 3)], "store_name string, length int")
+    entries = spark.createDataFrame(
+        [("s", "a", 5, 1), ("t", "b", 5, 2), ("u", "c", 5, 3)],
+        "store_name string, job_id string, ts int, version int",
     )
-    assert rows_of(gone) == [("a", "s")]
+    gone = state.audit_disconnects(entries, spark.createDataFrame([("b",)], "job_id string"))
+    assert rows_of(gone.select("job_id", "store_name")) == [("a", "s"), ("c", "u")]
+    assert rows_of(state.stale_results(spark.createDataFrame([], schema), files, gone)) == []
+    again = [("s", "SUBMIT", 6, 9), ("u", "SUBMIT", 4, 8), ("t", "SUBMIT", 7, 9)]
+    changes = spark.createDataFrame(again, schema)
     assert rows_of(state.stale_results(changes, files, gone)) == [("s", 1)]
 
 
+def test_a_run_without_exit_code_has_no_status(spark):
+    rows = spark.createDataFrame(
+        [(1, None, None, "f"), (2, 0, None, "f"), (3, None, "x", "f"), (4, 2, None, "f")],
+        "version int, exit_code int, exception_text string, result_name string",
+    )
+    found = state.classify_outcomes(rows).select("version", "status", "error_code")
+    assert rows_of(found) == [
+        (1, None, "exit_code.missing"),
+        (2, "SUCCESSFUL", None),
+        (3, "FAILED", None),
+        (4, "FAILED", None),
+    ]
+
+
 @pytest.mark.parametrize(
     "text,skip,error",
     [

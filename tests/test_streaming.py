@@ -124,3 +124,15 @@ def test_dedupe_across_batches(spark, within):
     assert rows_of(got.select("subscriber", "seq")) == sorted(want, key=repr)
     batch = delivery.dedupe_delivery(spark.createDataFrame(rows * 2 + rows[:1], schema), "at")
     assert rows_of(batch.select("subscriber", "seq")) == sorted(want, key=repr)
+
+
+def test_another_checkpoint_adds_its_rows(spark, log):
+    base = scratch_dir(spark, "upserts")
+    half = len(log) // 2
+    for number, rows in enumerate((log[:half], log[half:])):
+        stream = in_files(spark, slices(rows, 2), CHANGES, "in")
+        live_state.upsert_stream(
+            stream, f"{base}/table", "job_id", f"{base}/checkpoint-{number}"
+        ).awaitTermination()
+    want = rows_of(state.latest_by(spark.createDataFrame(log, CHANGES), "job_id"))
+    assert rows_of(live_state.read_upserts(spark, f"{base}/table", "job_id")) == want
