@@ -75,13 +75,14 @@ def ordered_tokens(line: Column, ranks: list[int]) -> Column:
     shifted = ",".join(str(rank << HASH_BITS) for rank in ranks)
     table_ = F.split(F.lit(shifted), ",").cast("array<bigint>")
 
-    def number(token: Column) -> Column:
-        hashed = F.xxhash64(token)
-        rank = table_.getItem(hashed.bitwiseAND(F.lit(BUCKETS - 1)))
+    def number(hashed: Column) -> Column:
+        # never null, which lets Spark sort plain longs
+        rank = F.coalesce(table_[hashed.bitwiseAND(F.lit(BUCKETS - 1))], F.lit(0))
         return rank + hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
-    numbers = F.array_distinct(F.transform(F.split(line, " "), number))
-    return F.sort_array(F.array_remove(numbers, number(F.lit(""))))
+    hashes = F.transform(F.split(line, " "), lambda token: F.xxhash64(token))
+    numbers = F.array_distinct(F.transform(hashes, number))
+    return F.sort_array(F.array_remove(numbers, number(F.xxhash64(F.lit("")))))
 
 
 def ceil_ratio(column: Column, numerator: int, denominator: int) -> Column:
@@ -115,24 +116,18 @@ def classes(
     prefix = F.transform(F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1), key)
 
     def sketch(shift: int) -> Column:
-        return F.aggregate(
-            "tokens",
-            F.lit(0).cast("long"),
-            lambda bits, token: bits.bitwiseXOR(
-                F.call_function(
-                    "shiftleft",
-                    F.lit(1).cast("long"),
-                    F.shiftright(token, shift).bitwiseAND(F.lit(63)).cast("int"),
-                )
-            ),
-        )
+        def bit(token: Column) -> Column:
+            taken = F.shiftright(token, shift) if shift else token
+            return F.call_function("shiftleft", F.lit(1).cast("long"), taken.bitwiseAND(F.lit(63)).cast("int"))
+
+        return F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, token: bits.bitwiseXOR(bit(token)))
 
     found = (
         held.select(
             "at",
             size.alias("size"),
             prefix.alias("prefix"),
-            sketch(20).alias("sketch"),
+            sketch(0).alias("sketch"),
             sketch(30).alias("sketch2"),
             F.xxhash64("tokens").alias("a"),
             F.xxhash64("tokens", F.lit(1)).alias("b"),
@@ -153,8 +148,8 @@ def classes(
 
 
 def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(key, i, j, size, id, ord, open, sketch) for the prefix tokens of classes. i is the place of the token,
-    j that of the second one in the key, or i."""
+    """(key, rest, size, id, ord, open, sketch) for the prefix tokens of classes. rest: how many tokens
+    two lines can share at most if those of the key are the first that they share."""
     num, den = similar
     # a shorter set than this has no similar set but itself
     able = found.where(F.col("size") * den >= num * (F.col("size") + 1))
