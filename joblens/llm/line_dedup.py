@@ -166,11 +166,14 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     )
     pairs = F.transform(
         F.sequence(F.col("i") + 1, F.col("p")),
-        lambda j: F.struct(F.hash("token", F.element_at("prefix", j + 1)).alias("key"), j.alias("j")),
+        lambda j: F.struct(
+            F.hash("token", F.element_at("prefix", j + 1)).alias("key"),
+            (F.col("size") - j + 1).alias("rest"),
+        ),
     )
-    single = F.array(F.struct(F.col("token").alias("key"), F.col("i").alias("j")))
-    keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "j")
-    return each.select("id", "ord", "open", "sketch", "size", "i", keys)
+    single = F.array(F.struct(F.col("token").alias("key"), (F.col("size") - F.col("i")).alias("rest")))
+    keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "rest")
+    return each.select("id", "ord", "open", "sketch", "size", keys)
 
 
 def near_enough(x: str, y: str, similar: tuple[int, int]) -> Column:
@@ -206,13 +209,12 @@ def candidate_pairs(found: DataFrame, settled: DataFrame, similar: tuple[int, in
     marked = found.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     rows = postings(marked.withColumn("open", F.col("settled").isNull()), similar)
     x, y = rows.alias("x"), rows.alias("y")
-    # the second part is never true, and not known before the join: so both sides, which differ
-    # by nothing, are read from one exchange
-    probing = F.col("x.open") | (F.col("y.i") + F.col("y.j") < 0) & ~F.col("y.open")
+    # the second part is never true, and not known before the join: so both sides, which need the
+    # same columns, are read from one exchange
+    probing = F.col("x.open") | (F.col("y.rest") < 0) & ~F.col("y.open")
     both = F.col("x.size") + F.col("y.size")
-    # holds for the first token that similar lines share, so no pair is lost
-    rest = F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i"))
-    enough = rest * (num + den) >= both * num
+    # holds for the first tokens that similar lines share, so no pair is lost
+    enough = F.least("x.rest", "y.rest") * (num + den) >= both * num
     earlier = (F.col("y.ord") <= F.col("x.ord")) & (F.col("y.id") != F.col("x.id"))
     met = x.join(
         y, (F.col("x.key") == F.col("y.key")) & probing & earlier & enough & near_enough("x", "y", similar)
