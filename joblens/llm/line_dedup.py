@@ -6,13 +6,13 @@ then the place in the text. Equal token sets form a class, whose first line stan
 
 The join orders the tokens of a line by rarity. Similar lines share one of their first tokens
 (prefix filter), their lengths are near (length filter) and enough tokens follow the first shared
-one (positional filter). A line also carries a 64-bit sketch, the parity of its tokens per hash
+one (positional filter). A line also carries a 128-bit sketch, the parity of its tokens per hash
 value: two sketches differ in no more bits than the sets do in tokens, which rules out most other
 pairs. The remaining ones are verified on the lines themselves. Where a prefix is frequent, the key is that token with a second one from a prefix longer by one, which
 similar lines share too; so frequent tokens do not bring unrelated lines together.
 
-Rarity comes from the counts of all tokens, kept per hash bucket: a table of fixed size. Any fixed
-order gives the same result; a better one brings fewer candidates.
+Rarity comes from the counts of all tokens, kept per hash bucket on a scale of powers: a table of
+fixed size. Any fixed order gives the same result; a better one brings fewer candidates.
 Everything is built-in column functions.
 
 Defined results: null text is empty and stays null; lines without tokens always stay; a text whose
@@ -21,14 +21,19 @@ last; an empty table gives an empty result; other columns, whatever their names,
 are; texts and lines of any length are read whole.
 """
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblens.llm.common import numbered, saved, table
 
 SIMILAR = (4, 5)
-BUCKETS = 1 << 16
-HASH_BITS = 47
+BUCKETS = 1 << 18
+HASH_BITS = 54
+#: Ranks per doubling of a bucket's count.
+RANKS_PER_DOUBLING = 4
 #: A bucket with this many times the mean count is frequent.
 FREQUENT = 4
 #: So many tokens of a line look for the earliest line that shares them.
@@ -59,26 +64,22 @@ def bucket_ranks(lines: DataFrame) -> tuple[list[int], int]:
         .agg(F.count("*").alias("n"))
         .collect()
     )
-    counts = [0] * BUCKETS
+    ranks, total = [0] * BUCKETS, 0
     for bucket, n in counted:
-        counts[bucket] = n
-    order = sorted(range(BUCKETS), key=lambda b: (counts[b], b))
-    ranks = [0] * BUCKETS
-    for rank, bucket in enumerate(order):
-        ranks[bucket] = rank
-    limit = FREQUENT * max(1, sum(counts) / BUCKETS)
-    return ranks, next((r for r, b in enumerate(order) if counts[b] > limit), BUCKETS)
+        ranks[bucket] = math.floor(RANKS_PER_DOUBLING * math.log2(n))
+        total += n
+    limit = FREQUENT * max(1, total / BUCKETS)
+    return ranks, math.ceil(RANKS_PER_DOUBLING * math.log2(limit))
 
 
 def ordered_tokens(line: Column, ranks: list[int]) -> Column:
     """The distinct tokens as numbers, rarest first: the bucket's rank, then hash bits."""
-    shifted = ",".join(str(rank << HASH_BITS) for rank in ranks)
-    table_ = F.split(F.lit(shifted), ",").cast("array<bigint>")
+    table_ = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
     def number(hashed: Column) -> Column:
         # never null, which lets Spark sort plain longs
         rank = F.coalesce(table_[hashed.bitwiseAND(F.lit(BUCKETS - 1))], F.lit(0))
-        return rank + hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+        return F.shiftleft(rank, HASH_BITS) + F.shiftrightunsigned(hashed, 64 - HASH_BITS)
 
     hashes = F.transform(F.split(line, " "), lambda token: F.xxhash64(token))
     numbers = F.array_distinct(F.transform(hashes, number))
@@ -110,25 +111,27 @@ def classes(
 
     def key(token: Column) -> Column:
         bits = token.bitwiseAND(F.lit(most)).cast("int")
-        least = min(frequent << HASH_BITS, (1 << 63) - 1)  # the latter if no bucket is frequent
-        return F.when(token >= F.lit(least), -1 - bits).otherwise(bits)
+        return F.when(token >= F.lit(frequent << HASH_BITS), -1 - bits).otherwise(bits)
 
     prefix = F.transform(F.slice("tokens", F.lit(1), probe_prefix(size, similar) + 1), key)
 
-    def sketch(shift: int) -> Column:
-        def bit(token: Column) -> Column:
-            taken = F.shiftright(token, shift) if shift else token
-            return F.call_function("shiftleft", F.lit(1).cast("long"), taken.bitwiseAND(F.lit(63)).cast("int"))
+    def sketch(bit: Callable[[Column], Column]) -> Column:
+        def toggled(bits: Column, token: Column) -> Column:
+            place = token.bitwiseAND(F.lit(63)).cast("int")
+            return bits.bitwiseXOR(F.call_function("shiftleft", bit(token), place))
 
-        return F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, token: bits.bitwiseXOR(bit(token)))
+        return F.aggregate("tokens", F.lit(0).cast("long"), toggled)
 
+    # one half of the 128 bits, and both halves laid over each other
+    half = sketch(lambda token: F.shiftright(token, 6).bitwiseAND(F.lit(1).cast("long")))
+    both = sketch(lambda token: F.lit(1).cast("long"))
     found = (
         held.select(
             "at",
             size.alias("size"),
             prefix.alias("prefix"),
-            sketch(0).alias("sketch"),
-            sketch(30).alias("sketch2"),
+            both.alias("both"),
+            half.alias("sketch2"),
             F.xxhash64("tokens").alias("a"),
             F.xxhash64("tokens", F.lit(1)).alias("b"),
         )
@@ -137,19 +140,25 @@ def classes(
             F.min("at").alias("first"),
             F.first("size").alias("size"),
             F.first("prefix").alias("prefix"),
-            F.first("sketch").alias("sketch"),
+            F.first("both").alias("both"),
             F.first("sketch2").alias("sketch2"),
         )
         .select(
-            F.monotonically_increasing_id().alias("id"), "first", "size", "prefix", "sketch", "sketch2"
+            F.monotonically_increasing_id().alias("id"),
+            "first",
+            "size",
+            "prefix",
+            F.col("both").bitwiseXOR(F.col("sketch2")).alias("sketch"),
+            "sketch2",
         )
     )
     return saved(found, "line-classes")
 
 
 def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(key, rest, size, id, ord, open, sketch) for the prefix tokens of classes. rest: how many tokens
-    two lines can share at most if those of the key are the first that they share."""
+    """(key, shape, id, ord, sketch, sketch2) for the prefix tokens of classes. shape is the size, in
+    the upper half, then rest, how many tokens two lines can share at most if those of the key are
+    the first that they share, then a bit that tells if the class is open."""
     num, den = similar
     # a shorter set than this has no similar set but itself
     able = found.where(F.col("size") * den >= num * (F.col("size") + 1))
@@ -159,6 +168,7 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
         F.col("first.ord").alias("ord"),
         "open",
         "sketch",
+        "sketch2",
         "size",
         "p",
         "prefix",
@@ -173,16 +183,23 @@ def postings(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     )
     single = F.array(F.struct(F.col("token").alias("key"), (F.col("size") - F.col("i")).alias("rest")))
     keys = F.inline(F.when(F.col("token") < 0, pairs).otherwise(single)).alias("key", "rest")
-    return each.select("id", "ord", "open", "sketch", "size", keys)
+    rows = each.select("id", "ord", "open", "sketch", "sketch2", "size", keys)
+    low = F.shiftleft(F.col("rest").cast("long"), 1) + F.col("open").cast("long")
+    shape = F.shiftleft(F.col("size").cast("long"), 32) + low
+    return rows.select("key", shape.alias("shape"), "id", "ord", "sketch", "sketch2")
 
 
-def near_enough(x: str, y: str, similar: tuple[int, int]) -> Column:
+def near_enough(
+    x: str, y: str, size_x: Column, size_y: Column, similar: tuple[int, int]
+) -> Column:
     """The length and the sketch filter."""
     num, den = similar
-    both = F.col(f"{x}.size") + F.col(f"{y}.size")
-    least = F.least(f"{x}.size", f"{y}.size") * den >= F.greatest(f"{x}.size", f"{y}.size") * num
-    apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
-    return least & (apart * (num + den) <= both * (den - num))
+    least = F.least(size_x, size_y) * den >= F.greatest(size_x, size_y) * num
+    apart = sum(
+        F.bit_count(F.col(f"{x}.{word}").bitwiseXOR(F.col(f"{y}.{word}")))
+        for word in ("sketch", "sketch2")
+    )
+    return least & (apart * (num + den) <= (size_x + size_y) * (den - num))
 
 
 def star_pairs(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -190,13 +207,13 @@ def star_pairs(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
     many pairs as tokens at most. Most copies of a line are settled by these."""
     rare = found.select(
         F.explode(F.slice("prefix", 1, RAREST)).alias("key"),
-        F.struct(F.col("first.ord").alias("ord"), "id", "size", "sketch").alias("x"),
+        F.struct(F.col("first.ord").alias("ord"), "id", "size", "sketch", "sketch2").alias("x"),
     )
     stars = rare.groupBy("key").agg(F.min("x").alias("y"))
     met = rare.join(stars, "key")
     other = F.col("x.id") != F.col("y.id")
     return (
-        met.where(other & near_enough("x", "y", similar))
+        met.where(other & near_enough("x", "y", F.col("x.size"), F.col("y.size"), similar))
         .select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
         .distinct()
     )
@@ -209,31 +226,30 @@ def candidate_pairs(found: DataFrame, settled: DataFrame, similar: tuple[int, in
     marked = found.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     rows = postings(marked.withColumn("open", F.col("settled").isNull()), similar)
     x, y = rows.alias("x"), rows.alias("y")
+    size_x, size_y = F.shiftright("x.shape", 32), F.shiftright("y.shape", 32)
+    rest_x, rest_y = (
+        F.shiftright(shape, 1).bitwiseAND(F.lit((1 << 31) - 1)) for shape in ("x.shape", "y.shape")
+    )
     # the second part is never true, and not known before the join: so both sides, which need the
     # same columns, are read from one exchange
-    probing = F.col("x.open") | (F.col("y.rest") < 0) & ~F.col("y.open")
-    both = F.col("x.size") + F.col("y.size")
+    probing = (F.col("x.shape").bitwiseAND(F.lit(1)) == 1) | (F.col("y.shape") < 0)
     # holds for the first tokens that similar lines share, so no pair is lost
-    enough = F.least("x.rest", "y.rest") * (num + den) >= both * num
+    enough = F.least(rest_x, rest_y) * (num + den) >= (size_x + size_y) * num
     earlier = (F.col("y.ord") <= F.col("x.ord")) & (F.col("y.id") != F.col("x.id"))
-    met = x.join(
-        y, (F.col("x.key") == F.col("y.key")) & probing & earlier & enough & near_enough("x", "y", similar)
-    )
+    near = near_enough("x", "y", size_x, size_y, similar)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & enough & earlier & probing & near)
     return met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
 
-def placed(pairs: DataFrame, found: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def placed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(early, late, id), stored: the places of the first lines of both classes and the id of the
-    later one, where the second sketch leaves the pair possible."""
-    num, den = similar
-    own = [F.col(c) for c in ("first", "size", "sketch2", "id")]
+    later one."""
+    own = [F.col(c) for c in ("first", "id")]
     one = found.select(F.col("id").alias("a"), F.struct(*own).alias("one"))
     two = found.select(F.col("id").alias("b"), F.struct(*own).alias("two"))
     met = pairs.join(one, "a").join(two, "b")
-    apart = F.bit_count(F.col("one.sketch2").bitwiseXOR(F.col("two.sketch2")))
-    close = apart * (num + den) <= (F.col("one.size") + F.col("two.size")) * (den - num)
     early = F.col("one.first") < F.col("two.first")
-    turned = met.where(close).select(
+    turned = met.select(
         F.least("one.first", "two.first").alias("early"),
         F.greatest("one.first", "two.first").alias("late"),
         F.when(early, F.col("two.id")).otherwise(F.col("one.id")).alias("id"),
@@ -328,10 +344,10 @@ def kept_lines(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame
         raise ValueError("similar lines must share two tokens: the ratio must exceed 1/2")
     lines = lines_of(docs)
     found = classes(lines, *bucket_ranks(lines), similar)
-    stars = placed(saved(star_pairs(found, similar), "line-stars"), found, similar)
+    stars = placed(saved(star_pairs(found, similar), "line-stars"), found)
     settled = verified(stars, lines, similar)
     pairs = saved(candidate_pairs(found, settled, similar), "line-pairs")
-    similar_ones = settled.union(verified(placed(pairs, found, similar), lines, similar))
+    similar_ones = settled.union(verified(placed(pairs, found), lines, similar))
     return found.join(similar_ones, "id", "left_anti").select("first.uid", "first.line_no")
 
 
