@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from joblens.session import scratch_dir
 
+#: Bits of a row's place in its file; the bits above hold the file's number.
+ROW_BITS = 33
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,13 +25,32 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def is_stored(docs: DataFrame) -> bool:
+    """Whether docs is columns and rows of one Parquet table, whose files number their rows."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(uid, row): a number for each row, and the row as one struct, so that no column name can clash.
 
-    docs must be a stored table: the number is the row's place in its partition, which a repeated
-    task or a second read of the same files finds again.
+    The number is the file's place among the sorted names of the table's files and the row's place
+    in that file, so every later read finds it again, however the files are split among tasks.
+    What is not a stored table is stored first; the numbers then belong to the returned rows only.
     """
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"))
+    if not is_stored(docs):
+        docs = saved(docs, "numbered-rows")
+    place = docs.metadataColumn("_metadata")
+    # one name per file comes to the driver
+    files = sorted(row.file for row in docs.select(place["file_path"].alias("file")).distinct().collect())
+    names = F.lit(files) if files else F.array().cast("array<string>")
+    file = F.array_position(names, place["file_path"]) - 1
+    uid = F.shiftleft(file, ROW_BITS) + place["row_index"]
+    return docs.select(uid.alias("uid"), F.struct("*").alias("row"))
 
 
 def text_of(column: Column) -> Column:
