@@ -1,8 +1,10 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Every source is dealt into blocks of documents. Targets come from weights, capped at a multiple of
-a source's size. A source's quota is the number of its blocks (and second copies of blocks) whose
-words come nearest to the target, taken in a permuted order. A binary tree splits the exact quotas
+a source's size. A source gives whole copies of itself and, for the rest of the target, blocks in a
+permuted order that passes over each block that does not fit; large blocks are decided first. What
+is then open is filled with single documents of the smallest blocks left, to the nearest document.
+A source's quota is the number of blocks it gives. A binary tree splits the exact quotas
 of all sources among the output shards: at each node the left half's share is drawn from the
 multivariate hypergeometric distribution, as if all blocks were shuffled together. A shard then
 takes the next stretch of each source's permuted blocks, so shards are disjoint, and orders its
@@ -28,6 +30,10 @@ MOST_COPIES = 2
 #: A source has this many blocks, until they would hold more than BLOCK_ROWS documents.
 BLOCKS = 1024
 BLOCK_ROWS = 4096
+#: A block with more than one in so many words of the rest is large.
+LARGE = 32
+#: So many blocks of a source, the smallest that do not fit, may be given in part.
+IN_PART = 16
 #: Sources are split in so many groups first, then the sources of a group.
 GROUPS = 256
 SEED = 17
@@ -88,9 +94,44 @@ def targets(rows: DataFrame) -> DataFrame:
     )
 
 
-def block_quotas(dealt: DataFrame) -> DataFrame:
-    """(sid, block, copies, ranks): how often a block is taken, and each copy's place in the
-    source's sequence of taken blocks."""
+def chosen_blocks(words: np.ndarray, draw: np.ndarray, rest: float) -> tuple[np.ndarray, float]:
+    """(which blocks are given whole, what of the rest stays open). draw is uniform in [0, 1).
+
+    A block with more than a LARGE-th of the rest, or without words, is decided first, with the
+    chance that any block has. The others fill what is left, then the large ones not drawn."""
+    total = words.sum()
+    chance = rest / total if total > 0 else 1.0
+    apart = (words > rest / LARGE) | (words == 0)
+    drawn = apart & (draw < chance)
+    stage = np.where(drawn, 0, np.where(apart, 2, 1))
+    given = np.zeros(len(words), bool)
+    # the draw that decides on large blocks is also the permuted order
+    for at in np.lexsort((draw, stage)):
+        if words[at] <= rest and (words[at] > 0 or drawn[at]):
+            given[at] = True
+            rest -= words[at]
+    return given, rest
+
+
+def chosen_documents(sizes: np.ndarray, counts: np.ndarray, rest: float) -> np.ndarray:
+    """How many of counts[i] documents of sizes[i] words are given, in this order, passing over
+    those that do not fit; then one more of the smallest left if that comes nearer."""
+    given = np.zeros(len(sizes), np.int64)
+    for at in np.flatnonzero(sizes > 0):
+        given[at] = min(counts[at], int(rest // sizes[at]))
+        rest -= given[at] * sizes[at]
+    left = np.flatnonzero((given < counts) & (sizes > 0))
+    if len(left):
+        least = left[sizes[left].argmin()]
+        if sizes[least] - rest < rest:
+            given[least] += 1
+    return given
+
+
+def block_choices(dealt: DataFrame) -> DataFrame:
+    """(sid, block, whole, given, open, turn): whole counts the block's copies that every document
+    is in; given tells if the block is in the last, partial copy of its source. turn numbers the
+    blocks that may fill the `open` words with some of their documents."""
     blocks = dealt.groupBy("sid", "block").agg(
         F.sum("size").alias("words"),
         F.first("target").alias("target"),
@@ -98,23 +139,78 @@ def block_quotas(dealt: DataFrame) -> DataFrame:
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     whole = F.least(F.coalesce(whole, F.lit(0)), F.lit(MOST_COPIES)).cast("int")
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    draw = F.xxhash64("sid", "block", "whole", F.lit(SEED))
+    blocks = blocks.withColumn("whole", whole).select(
+        (F.col("sid") % GROUPS).alias("g"),
+        "sid",
+        "block",
+        "whole",
+        "words",
+        (F.col("target") - F.col("whole") * F.col("source_size")).cast("double").alias("rest"),
+        (F.pmod(draw, F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("draw"),
+    )
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.sort_values(["sid", "block"]).groupby("sid"):
+            own = own.assign(given=False, open=0.0, turn=-1)
+            if own["whole"].iloc[0] < MOST_COPIES:
+                words, rest = own["words"].to_numpy(), float(own["rest"].iloc[0])
+                own["given"], own["open"] = chosen_blocks(words, own["draw"].to_numpy(), rest)
+                left = np.flatnonzero(~own["given"].to_numpy() & (words > 0))
+                left = left[np.argsort(words[left], kind="stable")][:IN_PART]
+                turn = np.full(len(own), -1)
+                turn[left] = np.arange(len(left))
+                own["turn"] = turn
+            out.append(own)
+        return pd.concat(out)[["sid", "block", "whole", "given", "open", "turn"]]
+
+    schema = "sid long, block long, whole int, given boolean, open double, turn int"
+    return saved(blocks.groupBy("g").applyInPandas(choose, schema), "mixing-choices")
+
+
+def document_choices(dealt: DataFrame, choices: DataFrame) -> DataFrame:
+    """(sid, block, h, size, some): how many of the equal documents of a block are given where
+    not all are. Of one source, the documents of IN_PART blocks are looked at."""
+    asked = choices.where((F.col("turn") >= 0) & (F.col("open") > 0)).select("sid", "block", "open", "turn")
+    equal = (
+        dealt.join(asked, ["sid", "block"])
+        .groupBy("sid", "block", "h", "size", "open", "turn")
+        .agg(F.count("*").alias("n"))
+        .withColumn("g", F.col("sid") % GROUPS)
+    )
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.sort_values(["sid", "turn", "h", "size"]).groupby("sid"):
+            sizes, counts = own["size"].to_numpy(), own["n"].to_numpy()
+            given = chosen_documents(sizes, counts, float(own["open"].iloc[0]))
+            out.append(own.assign(some=given)[given > 0])
+        return pd.concat(out)[["sid", "block", "h", "size", "some"]]
+
+    schema = "sid long, block long, h long, size long, some long"
+    return saved(equal.groupBy("g").applyInPandas(choose, schema), "mixing-documents")
+
+
+def block_quotas(choices: DataFrame, documents: DataFrame) -> DataFrame:
+    """(sid, block, copies, ranks, in_part): how often a block is given, and each copy's place in
+    the source's sequence of given blocks; in_part holds if its last copy is of some documents."""
+    some = documents.select("sid", "block").distinct().withColumn("in_part", F.lit(True))
+    met = choices.join(some, ["sid", "block"], "left").withColumn(
+        "in_part", F.coalesce("in_part", F.lit(False))
+    )
+    met = met.withColumn("taken", F.col("given") | F.col("in_part"))
 
-    def place(copy: Column | int) -> Column:
+    def place(copy: Column | int, *within: str) -> Column:
         order = F.xxhash64("sid", "block", F.lit(copy) if isinstance(copy, int) else copy)
-        return Window.partitionBy("sid").orderBy(order, "block")
+        return F.row_number().over(Window.partitionBy("sid", *within).orderBy(order, "block")) - 1
 
-    last = place(F.col("whole"))
-    before = F.sum("words").over(last) - F.col("words")
-    taken = (before + F.col("words") / 2 <= F.col("rest")) & (F.col("whole") < MOST_COPIES)
-    ranked = blocks.withColumn("whole", whole).withColumn("rest", rest)
-    ranked = ranked.withColumns(
+    ranked = met.withColumns(
         {
-            "taken": taken,
-            "last": F.row_number().over(last) - 1,
+            "last": place(F.col("whole"), "taken"),
             "n": F.count("*").over(Window.partitionBy("sid")),
         }
-        | {f"at{c}": F.row_number().over(place(c)) - 1 for c in range(MOST_COPIES)}
+        | {f"at{c}": place(c) for c in range(MOST_COPIES)}
     )
     ranks = F.array(*[F.col(f"at{c}") + F.col("n") * c for c in range(MOST_COPIES)])
     own = F.when(F.col("taken"), F.array(F.col("last") + F.col("n") * F.col("whole")))
@@ -126,6 +222,7 @@ def block_quotas(dealt: DataFrame) -> DataFrame:
             F.slice(ranks, F.lit(1), F.col("whole")),
             F.coalesce(own, F.array().cast("array<bigint>")),
         ).alias("ranks"),
+        "in_part",
     )
 
 
@@ -180,14 +277,23 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "uid", "doc_id", "h", "size", "sid", "source_size", "target",
         F.pmod("h", "blocks").alias("block"),
     )
-    blocks = saved(block_quotas(dealt), "mixing-blocks")
+    choices = block_choices(dealt)
+    documents = document_choices(dealt, choices)
+    blocks = saved(block_quotas(choices, documents), "mixing-blocks")
     ends = shard_ends(blocks.groupBy("sid").agg(F.sum("copies").alias("quota")), shards)
     shard = lambda rank: F.size(F.filter("ends", lambda end: end <= rank))
     placed = blocks.join(ends, "sid").select(
-        "sid", "block", F.transform("ranks", shard).alias("shards")
+        "sid", "block", "in_part", F.transform("ranks", shard).alias("shards")
     )
-    return dealt.join(placed, ["sid", "block"]).select(
-        "uid", "doc_id", "h", "size", "source_size", "target", "shards"
+    met = dealt.join(placed, ["sid", "block"])
+    columns = ["uid", "doc_id", "h", "size", "source_size", "target", "shards"]
+    same = ["sid", "block", "h", "size"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("uid"))
+    split = met.where("in_part").withColumn("nth", nth).join(documents, same, "left")
+    without = F.slice("shards", F.lit(1), F.size("shards") - 1)
+    kept = F.when(F.col("nth") <= F.col("some"), F.col("shards")).otherwise(without)
+    return met.where(~F.col("in_part")).select(columns).union(
+        split.withColumn("shards", kept).select(columns)
     )
 
 

@@ -251,6 +251,35 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_goes_on_past_a_block_that_does_not_fit():
+    """2,000 documents and one of 150,000 words, two a block; the rest is 0.3 of the source."""
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        sizes = rng.permutation([*rng.integers(100, 501, 2000), 150_000])
+        words = np.add.reduceat(sizes, np.arange(0, len(sizes), 2))
+        rest = 0.3 * words.sum()
+        given, left = mixing.chosen_blocks(words, rng.random(len(words)), rest)
+        assert words[given].sum() + left == pytest.approx(rest)
+        assert 0 <= left < min(words[~given])
+    assert mixing.chosen_documents(np.array([9, 0, 4, 3, 50]), np.array([1, 5, 9, 1, 1]), 20.0).tolist() == [1, 0, 2, 1, 0]
+
+
+def test_mixing_meets_the_target_despite_a_long_document(spark, tmp_path, monkeypatch):
+    sizes = [*np.random.default_rng(5).integers(1, 6, 2000).tolist(), 1500]
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(9000 + i, "", "a") for i in range(40)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    monkeypatch.setattr(mixing, "SHARE", 0.3)
+    for seed in range(6):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        found = mixing.mix(docs).collect()
+        assert len(found) == len(rows)
+        taken = sum(r.size * len(r.shards) for r in found)
+        assert abs(taken - 0.3 * sum(sizes)) <= 5, seed
+        assert 0 < sum(len(r.shards) for r in found if r.size == 0) < 40
+
+
 def test_splitting_tree_keeps_both_sums():
     quotas, shards = np.array([5, 0, 17, 400]), np.array([106, 106, 105, 105])
     out = mixing.split_tree(quotas, shards, np.random.default_rng(1))
