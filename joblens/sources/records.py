@@ -121,18 +121,24 @@ def decode_records(
 
 
 def nest_events(
-    events: DataFrame, job_id: str = "job_id", segment_rows: int = SEGMENT_ROWS
+    events: DataFrame,
+    job_id: str = "job_id",
+    segment_rows: int = SEGMENT_ROWS,
+    position: str = "seq",
 ) -> DataFrame:
-    """(job_id, segment, events): ordered arrays of (seq, name, data).
+    """(job_id, segment, events): arrays of (seq, name, data) in the order of `position`.
 
-    A job of more than `segment_rows` events takes several segments.
+    A job of more than `segment_rows` events takes several segments. `position` is an event's place
+    in its job, from 0; where events may lack an id, it is a column of its own (`number_events`
+    makes one) and seq stays null. An event without a position has no place, which is an error.
     """
-    event = F.struct("seq", "name", "data").alias("_event")
-    placed = events.select(
-        job_id, floor_div(F.col("seq"), segment_rows).alias("segment"), event
-    )
+    missing = F.raise_error(F.lit(f"an event has no {position}")).cast("bigint")
+    place = F.coalesce(F.col(position).cast("bigint"), missing)
+    event = F.struct(place.alias("_at"), F.struct("seq", "name", "data").alias("_of")).alias("_event")
+    placed = events.select(job_id, floor_div(place, segment_rows).alias("segment"), event)
+    ordered = F.sort_array(F.collect_list("_event"))
     return placed.groupBy(job_id, "segment").agg(
-        F.sort_array(F.collect_list("_event")).alias("events")
+        F.transform(ordered, lambda e: e["_of"]).alias("events")
     )
 
 

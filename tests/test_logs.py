@@ -73,6 +73,18 @@ def test_nest_and_unnest(spark):
     assert rows_of(records.unnest_events(nested)) == rows
 
 
+def test_nest_keeps_the_order_of_events_without_an_id(spark):
+    rows = [(1, None if at % 3 else at, f"e{9 - at}", str(at), at) for at in range(10)]
+    df = spark.createDataFrame(rows, "job_id int, seq bigint, name string, data string, at bigint")
+    nested = records.nest_events(df.orderBy("name"), segment_rows=4, position="at")
+    got = [(r.segment, [(e.seq, e.data) for e in r.events]) for r in nested.orderBy("segment").collect()]
+    ids = [None if at % 3 else at for at in range(10)]
+    assert got == [(n, [(ids[at], str(at)) for at in range(4 * n, min(4 * n + 4, 10))]) for n in range(3)]
+    assert rows_of(records.unnest_events(nested)) == sorted((r[:4] for r in rows), key=repr)
+    with pytest.raises(Exception, match="an event has no seq"):
+        records.nest_events(df).collect()
+
+
 def test_first_status_is_created(spark):
     df = spark.createDataFrame(
         [("j", "CREATED", 1), ("j", "CONVERTING", 2), ("j", "CONVERTING", 3), ("j", "CREATED", 4)],
