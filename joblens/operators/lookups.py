@@ -167,8 +167,17 @@ def export_manifest(
     )
 
 
-def progress_view(events: DataFrame, job_id: str = "job_id") -> DataFrame:
-    """(job_id, display, percent) from the last status each job reported."""
+def progress_view(
+    events: DataFrame, job_id: str = "job_id", submitted: DataFrame | None = None
+) -> DataFrame:
+    """(job_id, display, percent) from the last status each job reported.
+
+    With `submitted` (job_id), the jobs in it that have no event yet are converting, too.
+    """
+    if submitted is not None:
+        events = events.select(job_id, "seq", "name", "data").unionByName(
+            submitted.select(job_id), allowMissingColumns=True
+        )
     reported = (F.col("name") == STATUS_EVENT) & F.col("data").isin(CONVERTING, SUCCESSFUL, FAILED)
     last = F.max_by("data", F.when(reported, F.col("seq"))).alias("_status")
     # Display texts.

@@ -378,6 +378,18 @@ check(
                                      case when status <> 'CREATED' then version end) as status
               from {TRANSITIONS} t group by job_id) p""",
 )
+check(
+    "progress_of_submitted",
+    ["job_changes_fx", "statuses_fx"],
+    f"""select job_id,
+               case status when 'SUCCESSFUL' then 'Conversion complete!' when 'FAILED' then 'Failed!'
+                    else 'Converting...' end as display,
+               case when status in ('SUCCESSFUL', 'FAILED') then 100 else 50 end as percent
+        from (select job_id from job_changes_fx where kind = 'SUBMIT'
+              union select job_id from {TRANSITIONS} t) j
+        left join (select job_id, arg_max(status, version) as status
+                   from {TRANSITIONS} t where status <> 'CREATED' group by job_id) p using (job_id)""",
+)
 check(
     "duplicate_files",
     [],

@@ -323,6 +323,14 @@ def progress_view(spark, sf_dir):
     return lookups.progress_view(events)
 
 
+@query
+def progress_of_submitted(spark, sf_dir):
+    changed = logs.status_transitions(view(spark, sf_dir, "statuses_fx"), ["ts", "version"])
+    events = logs.status_events(changed).withColumnRenamed("version", "seq")
+    submitted = view(spark, sf_dir, "job_changes_fx").where("kind = 'SUBMIT'")
+    return lookups.progress_view(events, submitted=submitted)
+
+
 # Storage
 
 

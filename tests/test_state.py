@@ -209,3 +209,16 @@ def test_progress_ignores_other_events_and_unknown_states(spark):
         ("b", "Converting...", 50),
         ("c", "Failed!", 100),
     ]
+
+
+def test_progress_of_a_submitted_job_without_events(spark):
+    events = spark.createDataFrame(
+        [("a", 0, "status", "FAILED"), ("d", 0, "status", "SUCCESSFUL")],
+        "job_id string, seq int, name string, data string",
+    )
+    submitted = spark.createDataFrame([("a",), ("b",), ("b",)], "job_id string")
+    assert rows_of(lookups.progress_view(events, submitted=submitted)) == [
+        ("a", "Failed!", 100),
+        ("b", "Converting...", 50),
+        ("d", "Conversion complete!", 100),
+    ]
