@@ -133,7 +133,7 @@ def classes(
             both.alias("both"),
             half.alias("sketch2"),
             F.xxhash64("tokens").alias("a"),
-            F.xxhash64("tokens", F.lit(1)).alias("b"),
+            F.xxhash64(F.lit(1), "tokens").alias("b"),
         )
         .groupBy("a", "b")
         .agg(

@@ -340,6 +340,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_the_hashes_of_a_token_set_are_independent(spark, tmp_path):
+    """The second hash of a class must not start from the first."""
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string").write.parquet(path)
+    lines = line_dedup.lines_of(spark.read.parquet(path))
+    plan = line_dedup.saved
+    held = []
+    line_dedup.saved = lambda rows, name: held.append(rows) or rows
+    try:
+        line_dedup.classes(lines, *line_dedup.bucket_ranks(lines), line_dedup.SIMILAR)
+    finally:
+        line_dedup.saved = plan
+    text = held[0]._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(1, tokens" in text and not re.search(r"xxhash64\(tokens#\d+L?, 1", text)
+
+
 def test_line_dedup_with_frequent_tokens(spark, tmp_path):
     """Few words make every prefix token frequent."""
     rng = np.random.default_rng(11)
