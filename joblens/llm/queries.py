@@ -1,5 +1,6 @@
 """The operators as queries over the given tables, and SQL for those that SQL can express."""
 
+from joblens.llm.alignment import op11_diagonal_run_skipping
 from joblens.llm.exact_dedup import OP5_SQL, op5_chunk_recipes
 from joblens.llm.fingerprints import op9_weighted_sampling
 from joblens.llm.language import op4_string_kernel
@@ -24,6 +25,7 @@ QUERIES = {
         op8_line_similarity_join,
         op9_weighted_sampling,
         op10_lsh_forest_join,
+        op11_diagonal_run_skipping,
     )
 }
 
