@@ -8,6 +8,7 @@ from joblens.llm.line_dedup import op8_line_similarity_join
 from joblens.llm.mixing import op6_hypergeometric_mixing
 from joblens.llm.ngram_join import op10_lsh_forest_join
 from joblens.llm.packing import op1_grouping_genetic_packing
+from joblens.llm.private_spans import op12_semi_markov_field
 from joblens.llm.ranked_search import OP13_SQL, op13_hashed_max_sketches
 from joblens.llm.secrets import op3_trigram_index
 from joblens.llm.sharding import op2_bounded_load_ring
@@ -27,6 +28,7 @@ QUERIES = {
         op9_weighted_sampling,
         op10_lsh_forest_join,
         op11_diagonal_run_skipping,
+        op12_semi_markov_field,
         op13_hashed_max_sketches,
     )
 }
