@@ -132,8 +132,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return together.select("uid", "doc_id", F.sort_array("found").alias("found"))
 
 
-def op3_trigram_index(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+def of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """Counts per kind, the spans written out, and their checksum."""
     kinds = F.lit([rule.kind for rule in RULES])
     listed = F.array_join(
         F.transform(
@@ -145,9 +149,13 @@ def op3_trigram_index(spark, sf_dir: str) -> DataFrame:
         ",",
     )
     counts = [
-        F.size(F.filter("found", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{rule.kind}")
+        F.size(F.filter("found", of_kind(n))).cast("long").alias(f"n_{rule.kind}")
         for n, rule in enumerate(RULES)
     ]
     return found.select(
         "doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans")
     )
+
+
+def op3_trigram_index(spark, sf_dir: str) -> DataFrame:
+    return digested(scan(table(spark, sf_dir, "documents")))

@@ -161,6 +161,14 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_counts(docs):
+    rows = secrets.digested(secrets.scan(docs)).collect()
+    for number, rule in enumerate(secrets.RULES):
+        plain = Counter((i, sum(kind == number for _, kind, _ in plain_spans(t))) for i, t in by_text(docs))
+        assert Counter((r.doc_id, r[f"n_{rule.kind}"]) for r in rows) == plain
+    assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() for r in rows)
+
+
 def test_trigram_queries():
     query = trigrams.trigram_query
     assert query("AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
