@@ -43,9 +43,10 @@ NARROWEST = 256
 OPEN_COUNT = 255
 HIGHEST_IMPACT = 1_000_000
 #: A batch of documents ends with the text that brings it to this many characters.
-BATCH_CHARS = 4_000_000
-#: Documents of one matrix product.
+BATCH_CHARS = 2_000_000
+#: Documents of one matrix product, and cells of their sketches.
 ROWS_PER_PRODUCT = 256
+CELLS_PER_PRODUCT = 1 << 23
 #: Queries are answered in blocks of about so many items and characters.
 BLOCK_ITEMS = 512
 BLOCK_CHARS = 200_000
@@ -86,8 +87,14 @@ def _widths(distinct: np.ndarray) -> np.ndarray:
     return 1 << np.ceil(np.log2(wanted)).astype(np.int64)
 
 
-def sketches(counts: list[Counter]) -> list[bytes]:
-    """Per document the maxima at the first coordinates, then those at the second; empty without terms."""
+def _cell_type(width: int):
+    """Two sketches have 2 * width cells, numbered in two bytes where that is enough."""
+    return np.dtype("<u2" if width <= 1 << 15 else "<u4")
+
+
+def sketches(counts: list[Counter]) -> list[tuple[int, bytes]]:
+    """Per document the width of its two sketches, and their cells that are not 0: the places (those
+    of the second sketch follow those of the first), then the maxima. Width 0 without terms."""
     distinct = np.array([len(c) for c in counts], np.int64)
     widths = np.where(distinct > 0, _widths(distinct), 0)
     starts = np.cumsum(2 * widths) - 2 * widths
@@ -98,16 +105,31 @@ def sketches(counts: list[Counter]) -> list[bytes]:
     start, width = np.repeat(starts, distinct), np.repeat(widths, distinct)
     np.maximum.at(cells, start + (first & (width - 1)), found)
     np.maximum.at(cells, start + width + (second & (width - 1)), found)
-    return [cells[at : at + 2 * w].tobytes() for at, w in zip(starts, widths)]
+    packed = []
+    for at, w in zip(starts.tolist(), widths.tolist()):
+        own = cells[at : at + 2 * w]
+        places = np.flatnonzero(own)
+        packed.append((w, places.astype(_cell_type(w)).tobytes() + own[places].tobytes()))
+    return packed
+
+
+def unpacked(width: int, packed: list[bytes]) -> np.ndarray:
+    """Documents x 2 * width: the sketches of documents of one width."""
+    cells = np.zeros((len(packed), 2 * width), np.uint8)
+    kind = _cell_type(width)
+    for row, data in zip(cells, packed):
+        size = len(data) // (kind.itemsize + 1)
+        row[np.frombuffer(data, kind, size)] = np.frombuffer(data, np.uint8, size, size * kind.itemsize)
+    return cells
 
 
 INDEX = (
-    "file long, place long, n long, sketch binary, terms array<binary>, holders array<long>"
+    "file long, place long, n long, width int, sketch binary, terms array<binary>, holders array<long>"
 )
 
 
 def build_index(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """(file, place, n, sketch) per document; the last row of each batch of documents also has the
+    """(file, place, n, width, sketch) per document; the last row of each batch of documents also has the
     batch's distinct terms and how many of its documents hold each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +141,18 @@ def build_index(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
             last[-1] = len(holders)
             empty = pa.array([*[True] * (len(counts) - 1), False])
             terms = pa.array(holders.keys(), pa.binary())
+            widths, packed = zip(*sketches(counts))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([part.column(0) for part in rows]),
                     pa.concat_arrays([part.column(1) for part in rows]),
                     pa.array([c.total() for c in counts], pa.int64()),
-                    pa.array(sketches(counts), pa.binary()),
+                    pa.array(widths, pa.int32()),
+                    pa.array(packed, pa.binary()),
                     pa.ListArray.from_arrays(last, terms, mask=empty),
                     pa.ListArray.from_arrays(last, pa.array(holders.values(), pa.int64()), mask=empty),
                 ],
-                names=["file", "place", "n", "sketch", "terms", "holders"],
+                names=["file", "place", "n", "width", "sketch", "terms", "holders"],
             )
 
     def counted_batches(batches):
@@ -245,18 +269,15 @@ class Bounds:
         return found @ self.matrix * self.margin
 
     def blocks(self, batch: pa.RecordBatch):
-        """(rows of the batch, bounds), at most ROWS_PER_PRODUCT documents at a time."""
-        n = batch.column(2).to_numpy()
-        sketch = batch.column(3)
-        offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset :][: len(sketch) + 1]
-        data = np.frombuffer(sketch.buffers()[2] or b"", np.uint8)
-        sizes = np.diff(offsets)
-        for size in np.unique(sizes[sizes > 0]):
-            rows = np.flatnonzero(sizes == size)
-            for at in range(0, len(rows), ROWS_PER_PRODUCT):
-                part = rows[at : at + ROWS_PER_PRODUCT]
-                cells = np.stack([data[offsets[r] : offsets[r] + size] for r in part])
-                yield part, self.of(n[part], cells)
+        """(rows of the batch, bounds), some documents of one width at a time."""
+        n, widths = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        for width in np.unique(widths[widths > 0]).tolist():
+            rows = np.flatnonzero(widths == width)
+            size = max(1, min(ROWS_PER_PRODUCT, CELLS_PER_PRODUCT // (2 * width)))
+            for at in range(0, len(rows), size):
+                part = rows[at : at + size]
+                packed = batch.column(4).take(pa.array(part)).to_pylist()
+                yield part, self.of(n[part], unpacked(width, packed))
 
 
 def top(rows: DataFrame, key: str, order: list[Column], n: int, spread_by: list[str]) -> DataFrame:
@@ -295,7 +316,7 @@ def highest_bounds(index: DataFrame, bounds, n_queries: int, n: int = FIRST) ->
             names=["query", "file", "place", "bound"],
         )
 
-    some = index.select("file", "place", "n", "sketch").mapInArrow(
+    some = index.select("file", "place", "n", "width", "sketch").mapInArrow(
         work, "query int, file long, place long, bound double"
     )
     order = [F.desc("bound"), F.col("file"), F.col("place")]
@@ -326,7 +347,7 @@ def reaching(index: DataFrame, bounds, threshold: np.ndarray) -> DataFrame:
                     names=["file", "place", "queries", "bounds"],
                 )
 
-    return index.select("file", "place", "n", "sketch").mapInArrow(work, CANDIDATES)
+    return index.select("file", "place", "n", "width", "sketch").mapInArrow(work, CANDIDATES)
 
 
 class Scorer:
