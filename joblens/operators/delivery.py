@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from joblens.operators.resolve import split_errors
 from joblens.plans.blocks import floor_div
-from joblens.plans.joins import Salted
 
 INT_MAX = 2**31 - 1
 
@@ -36,24 +35,21 @@ def replay(
     subscriptions: DataFrame,
     events: DataFrame,
     chunk_events: int = CHUNK_EVENTS,
-    spread: bool | None = None,
-    **sizes,
 ) -> DataFrame:
     """(subscriber, job_id, seq, name, data, job_found) for every event at or after `skip`.
 
     A subscriber of an unknown job gets one row without an event. Subscribers meet a job's events
-    chunk by chunk, and a popular job's subscribers are dealt out over several tasks, so neither a
+    chunk by chunk, and adaptive execution splits the subscribers of a popular job, so neither a
     long log nor a popular job ends up in one task.
     """
     chunk = floor_div(F.col("seq"), chunk_events).alias("_part")
     placed = events.select("job_id", "seq", "name", "data", chunk)
     directory = placed.select("job_id", "_part").distinct()
     narrow = subscriptions.select("subscriber", "job_id", "skip")
-    salted = Salted(narrow, ["job_id"], ["subscriber", "job_id"], spread, **sizes)
-    wanted = salted.rows.join(salted.copies(directory), salted.on, "left").where(
+    wanted = narrow.join(directory, "job_id", "left").where(
         F.col("_part").isNull() | (F.col("_part") >= floor_div(F.col("skip"), chunk_events))
     )
-    sent = wanted.join(salted.copies(placed), [*salted.on, "_part"], "left").where(
+    sent = wanted.join(placed, ["job_id", "_part"], "left").where(
         F.col("_part").isNull() | (F.col("seq") >= F.col("skip"))
     )
     found = F.col("_part").isNotNull()

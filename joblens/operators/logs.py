@@ -37,10 +37,10 @@ def split_log_events(logs: DataFrame, job_id: str = "job_id", log: str = "log")
 
 
 def number_events(
-    events: DataFrame, order: list[str], job_id: str = "job_id", spread: bool | None = None, **sizes
+    events: DataFrame, order: list[str], job_id: str = "job_id", **sizes
 ) -> DataFrame:
     """Add `seq`: the number of earlier events of the job."""
-    return numbered(events, [job_id], order, "seq", spread, **sizes)
+    return numbered(events, [job_id], order, "seq", **sizes)
 
 
 def status_transitions(
@@ -48,11 +48,10 @@ def status_transitions(
     order: list[str],
     job_id: str = "job_id",
     status: str = "status",
-    spread: bool | None = None,
     **sizes,
 ) -> DataFrame:
     """Rows whose status differs from the one before; a job starts as CREATED."""
-    chunks = Chunks(changes, [job_id], order, spread, **sizes)
+    chunks = Chunks(changes, [job_id], order, **sizes)
     rows = with_previous(chunks, chunks.rows, status, "_previous")
     changed = rows.where(F.col(status) != F.coalesce("_previous", F.lit(CREATED)))
     return chunks.done(changed).drop("_previous")
@@ -71,7 +70,6 @@ def assemble_raw_output(
     events: DataFrame,
     job_id: str = "job_id",
     segment_rows: int = SEGMENT_ROWS,
-    spread: bool | None = None,
     **sizes,
 ) -> DataFrame:
     """(job_id, part, raw_output): the captured text, every line ended by its terminator.
@@ -79,7 +77,7 @@ def assemble_raw_output(
     A job of more than `segment_rows` events takes several parts; joined in order they are the text.
     """
     chunks = Chunks(
-        output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], spread, **sizes
+        output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], **sizes
     )
     rows = with_next(chunks, chunks.rows, "name", "_next")
     terminator = F.when(F.col("_next") == RETURN_EVENT, "\r").otherwise("\n")
@@ -94,30 +92,27 @@ def assemble_raw_output(
     return collected.select(job_id, "part", F.array_join("_lines.text", "").alias("raw_output"))
 
 
-def fold_terminal(
-    events: DataFrame, job_id: str = "job_id", spread: bool | None = None, **sizes
-) -> DataFrame:
+def fold_terminal(events: DataFrame, job_id: str = "job_id", **sizes) -> DataFrame:
     """(job_id, seq, data) of the lines a terminal would still show.
 
     A line is overwritten when a carriage return follows it and another line comes later.
     """
     chunks = Chunks(
-        output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], spread, **sizes
+        output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], **sizes
     )
     line_seq = F.when(F.col("name") == LINE_EVENT, F.col("seq"))
     rows = with_next(chunks, chunks.rows, "name", "_next").withColumn(
         "_last_line", F.max(line_seq).over(chunks.whole())
     )
-    if chunks.spread:
-        rows = chunks.with_neighbours(
-            rows,
-            {"_line": F.max(line_seq)},
-            lambda over: {
-                "_line_of_job": F.max("_line").over(
-                    over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                )
-            },
-        ).withColumn("_last_line", F.coalesce("_line_of_job", "_last_line"))
+    rows = chunks.with_neighbours(
+        rows,
+        {"_line": F.max(line_seq)},
+        lambda over: {
+            "_line_of_job": F.max("_line").over(
+                over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            )
+        },
+    ).withColumn("_last_line", F.coalesce("_line_of_job", "_last_line"))
     overwritten = (F.col("_next") == RETURN_EVENT) & (F.col("_last_line") > F.col("seq"))
     shown = rows.where((F.col("name") == LINE_EVENT) & ~F.coalesce(overwritten, F.lit(False)))
     return shown.select(job_id, "seq", "data")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from joblens.functions.names import content_disposition
 from joblens.operators.resolve import split_errors
 from joblens.plans.blocks import within_ranges
-from joblens.plans.joins import lookup
 from joblens.schemas import CONVERTING, FAILED, STATUS_EVENT, SUCCESSFUL
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
@@ -63,12 +62,10 @@ def parse_ranges(
     return split_errors(check_ranges(df, from_text, to_text))
 
 
-def with_end_time(
-    jobs: DataFrame, files: DataFrame, spread: bool | None = None, **sizes
-) -> DataFrame:
+def with_end_time(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Add `end_ms`: when the result file was written, 0 where there is no file."""
     ends = files.select("store_name", F.col("end_ms").alias("_end_ms"))
-    joined = lookup(jobs, ends, ["store_name"], ["id"], "left", spread, **sizes)
+    joined = jobs.join(ends, "store_name", "left")
     return joined.withColumn("end_ms", F.coalesce("_end_ms", F.lit(0))).drop("_end_ms")
 
 
@@ -77,14 +74,13 @@ def history(
     files: DataFrame,
     from_ms: int | None = None,
     to_ms: int | None = None,
-    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """((id, name) newest first, quarantine of rows without a file name).
 
     Successful jobs that ended in [from_ms, to_ms).
     """
     finished = jobs.where(F.col("status") == SUCCESSFUL).select("id", "store_name", "file_name")
-    rows = with_end_time(finished, files, **options)
+    rows = with_end_time(finished, files)
     if from_ms is not None:
         rows = rows.where(F.col("end_ms") >= from_ms)
     if to_ms is not None:
@@ -101,9 +97,7 @@ def history_ranges(ranges: DataFrame, jobs: DataFrame, files: DataFrame, **optio
     """(range_id, id, name) of the successful jobs in each range of a table of ranges."""
     finished = jobs.where((F.col("status") == SUCCESSFUL) & F.col("file_name").isNotNull())
     ended = with_end_time(finished.select("id", "store_name", "file_name"), files)
-    pairs = within_ranges(
-        ended.select("id", "file_name", "end_ms"), "end_ms", ["id"], ranges, **options
-    )
+    pairs = within_ranges(ended.select("id", "file_name", "end_ms"), "end_ms", ranges, **options)
     return pairs.select("range_id", "id", F.col("file_name").alias("name"))
 
 
@@ -130,9 +124,7 @@ def property_of(ids: DataFrame, by_id: DataFrame, prop: str) -> DataFrame:
     return rows.withColumn("error_code", F.when(F.col("value").isNull(), "not_found"))
 
 
-def export_manifest(
-    ids: DataFrame, by_id: DataFrame, files: DataFrame, spread: bool | None = None, **sizes
-) -> DataFrame:
+def export_manifest(ids: DataFrame, by_id: DataFrame, files: DataFrame) -> DataFrame:
     """(id, code, error_code, status, content_length, content_disposition) of each distinct id.
 
     Code is 200 for a result that can be downloaded, else why not: 404 unknown, 409 failed or not
@@ -141,7 +133,7 @@ def export_manifest(
     jobs = by_id.select("id", "store_name", "status", "file_name")
     asked = ids.select("id").distinct().join(jobs, "id", "left")
     lengths = files.select("store_name", "length")
-    rows = lookup(asked, lengths, ["store_name"], ["id"], "left", spread, **sizes)
+    rows = asked.join(lengths, "store_name", "left")
     status = F.col("status")
     error = (
         F.when(status.isNull(), "not_found")

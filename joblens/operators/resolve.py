@@ -166,14 +166,13 @@ def assign_job_ids(
     seed: str = "",
     ts: str = "ts",
     row_id: str = "submission_id",
-    spread: bool | None = None,
     **sizes,
 ) -> DataFrame:
     """Add `job_id`: prefix, time in nanoseconds, counter among equal times, 64 hash bits.
 
     The hash takes the place of a random number, so a rerun gives the same ids.
     """
-    counted = numbered(df, [ts], [row_id], "_counter", spread, **sizes)
+    counted = numbered(df, [ts], [row_id], "_counter", **sizes)
     nanos = F.unix_micros(F.col(ts).cast("timestamp")) * 1000
     tail = F.substring(F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))), 1, 16)
     return counted.withColumn(

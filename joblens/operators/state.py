@@ -5,7 +5,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblens.plans.joins import lookup
 from joblens.plans.ordered import Chunks, with_latest, with_previous
 from joblens.schemas import CONVERTING, DELETE, FAILED, SUBMIT, SUCCESSFUL
 
@@ -34,7 +33,7 @@ def _life_cycle(changes: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def assign_canonical(
-    changes: DataFrame, submission: str = "version", spread: bool | None = None, **sizes
+    changes: DataFrame, submission: str = "version", **sizes
 ) -> DataFrame:
     """(submission, store_name, canonical): the submission whose job each submission ends up with.
 
@@ -42,7 +41,7 @@ def assign_canonical(
     reuses the job started last.
     """
     columns = list(dict.fromkeys(["store_name", "kind", *ORDER, submission]))
-    chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, spread, **sizes)
+    chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, **sizes)
     rows = with_previous(chunks, chunks.rows, "kind", "_previous")
     starts = (F.col("kind") == SUBMIT) & F.coalesce(F.col("_previous") != SUBMIT, F.lit(True))
     rows = rows.withColumn("_started", F.when(starts, F.col(submission)))
@@ -50,10 +49,10 @@ def assign_canonical(
     return rows.where(F.col("kind") == SUBMIT).select(submission, "store_name", "canonical")
 
 
-def stale_stores(changes: DataFrame, spread: bool | None = None, **sizes) -> DataFrame:
+def stale_stores(changes: DataFrame, **sizes) -> DataFrame:
     """Store names for which some submission found a failed job."""
     columns = ["store_name", "kind", *ORDER]
-    chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, spread, **sizes)
+    chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, **sizes)
     # A failure counts only while there is a job: after a submission, not after a delete.
     rows = chunks.rows.withColumn("_owner", F.when(F.col("kind") != FAILED, F.col("kind")))
     rows = with_latest(chunks, rows, "_owner", "_owner_now")
@@ -70,7 +69,6 @@ def stale_results(
     changes: DataFrame,
     files: DataFrame,
     disconnected: DataFrame | None = None,
-    spread: bool | None = None,
     **sizes,
 ) -> DataFrame:
     """Result files to delete. Only lists them.
@@ -78,7 +76,7 @@ def stale_results(
     `disconnected` (see `audit_disconnects`) adds the store names whose job has gone missing and
     which were submitted again after that entry.
     """
-    stores = stale_stores(changes, spread, **sizes)
+    stores = stale_stores(changes, **sizes)
     if disconnected is not None:
         submitted = (
             changes.where(F.col("kind") == SUBMIT)
@@ -99,23 +97,18 @@ def audit_disconnects(
     return by_store.join(by_id.select(job_id), job_id, "left_anti")
 
 
-def with_cached(
-    submissions: DataFrame,
-    completed: DataFrame,
-    row_id: str = "submission_id",
-    spread: bool | None = None,
-    **sizes,
-) -> DataFrame:
-    """Add `file_name` and `status` of a completed record, null where there is none."""
+def with_cached(submissions: DataFrame, completed: DataFrame) -> DataFrame:
+    """Add `file_name` and `status` of a completed record, null where there is none.
+
+    Many submissions of one store name are split over tasks by adaptive execution.
+    """
     records = completed.select("store_name", "file_name", F.lit(SUCCESSFUL).alias("status"))
-    return lookup(submissions, records, ["store_name"], [row_id], "left", spread, **sizes)
+    return submissions.join(records, "store_name", "left")
 
 
-def split_cached(
-    submissions: DataFrame, completed: DataFrame, row_id: str = "submission_id", **options
-) -> tuple[DataFrame, DataFrame]:
+def split_cached(submissions: DataFrame, completed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses). A hit is SUCCESSFUL at once; whether its file exists is not looked at."""
-    rows = with_cached(submissions, completed, row_id, **options)
+    rows = with_cached(submissions, completed)
     hit = F.col("status").isNotNull()
     return rows.where(hit), rows.where(~hit).drop("file_name", "status")
 

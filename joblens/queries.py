@@ -93,7 +93,8 @@ def with_store_name(spark, sf_dir):
 
 @query
 def assign_job_ids(spark, sf_dir):
-    rows = resolve.assign_job_ids(view(spark, sf_dir, "submissions_fx"), seed="s")
+    asked = view(spark, sf_dir, "submissions_fx").select("submission_id", "ts")
+    rows = resolve.assign_job_ids(asked, seed="s")
     return rows.select("submission_id", "job_id")
 
 
@@ -157,8 +158,8 @@ def unnest_events(spark, sf_dir):
 
 @query
 def number_events(spark, sf_dir):
-    rows = logs.number_events(view(spark, sf_dir, "job_changes_fx"), ["ts", "version"])
-    return rows.select("job_id", "version", "seq")
+    changes = view(spark, sf_dir, "job_changes_fx").select("job_id", "ts", "version")
+    return logs.number_events(changes, ["ts", "version"]).select("job_id", "version", "seq")
 
 
 @query

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from joblens.session import local_session  # noqa: E402
 
 # Small enough that the test tables have hot keys and several chunks.
-SMALL = {"spread": True, "sample_rows": 400, "rows_per_sample": 5}
+SMALL = {"hot_rows": 40, "cuts": 128}
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from joblens.operators import delivery, logs, lookups, resolve, state
-from joblens.plans import blocks, joins, ordered
+from joblens.plans import blocks, ordered
 
 KINDS = ["SUBMIT", "CONVERTING", "FAILED", "SUCCESSFUL", "DELETE"]
 
@@ -47,21 +47,77 @@ def by_key(log, column):
 
 
 def chunk_counts(chunks):
-    return {
-        row[0]: row[1]
-        for row in chunks.rows.groupBy(*chunks.key).agg(F.countDistinct(ordered.CHUNK)).collect()
-    }
+    counted = chunks.rows.groupBy(ordered.KEY).agg(F.countDistinct(ordered.CHUNK).alias("n"))
+    return {row[0][0]: row.n for row in counted.collect()}
 
 
 def test_only_hot_keys_are_cut_and_every_chunk_is_small(changes):
     chunks = ordered.Chunks(changes, ["store_name"], ["ts", "version"], **SMALL)
     counts = chunk_counts(chunks)
     assert counts["hot"] > 50
-    assert sum(1 for n in counts.values() if n > 1) < 60
+    assert sum(1 for n in counts.values() if n > 1) == 1
     largest = chunks.rows.groupBy("store_name", ordered.CHUNK).count().agg(F.max("count"))
     assert largest.first()[0] < 100
 
 
+def test_rows_are_shuffled_once(spark, changes, tmp_path):
+    """One read for the sketch, one for the rows: every summary is made from the shuffled rows."""
+    changes.write.parquet(f"{tmp_path}/changes")
+    stored = spark.read.parquet(f"{tmp_path}/changes")
+    for rows, summaries in (
+        (logs.number_events(stored.drop("kind"), ["ts", "version"], "store_name", **SMALL), 1),
+        (logs.status_transitions(stored, ["ts", "version"], "store_name", "kind", **SMALL), 1),
+        (state.assign_canonical(stored, **SMALL), 2),
+    ):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        steps = [line.strip(" :+-") for line in plan[: plan.index("\n+- == Initial Plan ==")].splitlines()]
+        own = [s for s in steps if s.startswith("Exchange hashpartitioning(_key") and "_chunk" in s]
+        reused = [s for s in steps if s.startswith("ReusedExchange") and "_chunk" in s]
+        assert len(reused) >= summaries
+        assert len({s.split("plan_id=")[1] for s in own}) == 1
+
+
+def test_null_keys_are_cut_like_others(spark):
+    keys = [None] * 600 + ["hot"] * 600 + [f"k{n}" for n in range(300)]
+    rows = [(key, at % 7, at) for at, key in enumerate(keys)]
+    df = spark.createDataFrame(rows, "job_id string, ts int, version bigint").repartition(5)
+    chunks = ordered.Chunks(df, ["job_id"], ["ts", "version"], **SMALL)
+    counts = chunk_counts(chunks)
+    assert counts[None] > 20 and counts["hot"] > 20 and counts["k5"] == 1
+    got = logs.number_events(df, ["ts", "version"], **SMALL)
+    want = [
+        (row[2], at)
+        for key in set(keys)
+        for at, row in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]))
+    ]
+    assert rows_of(got.select("version", "seq")) == sorted(want, key=repr)
+
+
+ORDERED = [
+    ("timestamp_ntz", [f"2024-03-31 0{n % 4}:{n % 60:02d}:{n * 7 % 60:02d}.{n:06d}" for n in range(300)]),
+    ("timestamp", [f"2024-10-27 0{n % 4}:{n % 60:02d}:{n * 7 % 60:02d}" for n in range(300)]),
+    ("date", [f"{1960 + n % 80}-01-{n % 28 + 1:02d}" for n in range(300)]),
+    ("string", ["", "a", "b" * 40, "b" * 40 + "c", "ä", "日本", "b" * 7, "b" * 6 + "a", *map(str, range(200))]),
+    ("bigint", [-(2**63), 2**63 - 1, *range(-100, 100)]),
+    ("boolean", ["true", "false"]),
+]
+
+
+@pytest.mark.parametrize("kind,values", ORDERED)
+def test_images_rise_with_the_order(spark, kind, values):
+    df = spark.createDataFrame([(str(v),) for v in values] + [(None,)], "text string")
+    df = df.select(F.col("text").cast(kind).alias("v"))
+    images = F.struct(*ordered.order_values(df, "v"))
+    rows = df.select("v", images.alias("image")).orderBy("v").collect()
+    assert [r.image for r in rows] == sorted(r.image for r in rows)
+
+
+def test_an_order_that_cannot_be_cut_is_an_error(spark):
+    with pytest.raises(TypeError, match="order of x"):
+        ordered.Chunks(spark.range(3).selectExpr("id", "cast(id as double) as x"), ["id"], ["x"])
+
+
 def test_number_events(changes, log):
     got = logs.number_events(changes, ["ts", "version"], "store_name", **SMALL)
     want = [
@@ -101,13 +157,13 @@ def replay_submissions(log):
     return owners, stale
 
 
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
+@pytest.mark.parametrize("sizes", [SMALL, {}])
 def test_assign_canonical(changes, log, sizes):
     owners, _ = replay_submissions(log)
     assert rows_of(state.assign_canonical(changes, **sizes)) == sorted(owners, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
+@pytest.mark.parametrize("sizes", [SMALL, {}])
 def test_stale_results(spark, changes, log, sizes):
     _, stale = replay_submissions(log)
     files = changes.select("store_name").distinct()
@@ -128,7 +184,7 @@ def test_assign_job_ids_counts_equal_times(spark, changes):
         F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("version").alias("submission_id")
     )
     cut = resolve.assign_job_ids(df, seed="x", **SMALL)
-    plain = resolve.assign_job_ids(df, seed="x", spread=False)
+    plain = resolve.assign_job_ids(df, seed="x")
     assert rows_of(cut.select("submission_id", "job_id")) == rows_of(
         plain.select("submission_id", "job_id")
     )
@@ -176,14 +232,14 @@ def shown_lines(log):
     return sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
+@pytest.mark.parametrize("sizes", [SMALL, {}])
 def test_fold_terminal(spark, sizes):
     log = event_log()
     got = logs.fold_terminal(spark.createDataFrame(log, EVENTS).repartition(5), **sizes)
     assert rows_of(got) == shown_lines(log)
 
 
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
+@pytest.mark.parametrize("sizes", [SMALL, {}])
 def test_assemble_raw_output_in_parts(spark, sizes):
     log = event_log()
     got = logs.assemble_raw_output(spark.createDataFrame(log, EVENTS), segment_rows=50, **sizes)
@@ -199,29 +255,13 @@ def test_assemble_raw_output_in_parts(spark, sizes):
     assert text == want
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_lookup_with_hot_and_null_keys(spark, how):
-    draw = random.Random(5)
-    keys = ["hot"] * 1000 + [None] * 500 + [f"k{draw.randrange(300)}" for _ in range(1500)]
-    left = spark.createDataFrame([(at, key) for at, key in enumerate(keys)], "id bigint, k string")
-    right = spark.createDataFrame(
-        [("hot", 1), ("hot", 2), *[(f"k{n}", n) for n in range(0, 300, 2)]], "k string, v int"
-    )
-    salted = joins.Salted(left, ["k"], ["id"], **SMALL)
-    assert salted.rows.where("k = 'hot'").select(joins.SALT).distinct().count() > 50
-    cut = joins.lookup(left, right, ["k"], ["id"], how, **SMALL)
-    assert rows_of(cut) == rows_of(left.join(right, ["k"], how).select(*cut.columns))
-
-
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
-def test_replay_of_a_long_log_to_many_subscribers(spark, sizes):
+def test_replay_of_a_long_log_to_many_subscribers(spark):
     log = [(0, seq, "outputLine", "x") for seq in range(500)] + [(1, 0, "status", "y")]
     asks = [(n, 0 if n % 3 else n % 2 + 1, n * 7 % 600) for n in range(200)] + [(999, 77, 0)]
     got = delivery.replay(
         spark.createDataFrame(asks, "subscriber bigint, job_id bigint, skip bigint"),
         spark.createDataFrame(log, EVENTS),
         chunk_events=64,
-        **sizes,
     )
     want = []
     for subscriber, job, skip in asks:
@@ -232,29 +272,53 @@ def test_replay_of_a_long_log_to_many_subscribers(spark, sizes):
     assert rows_of(got) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [SMALL, {"spread": False}])
-def test_points_within_ranges(spark, sizes):
+def plain_pairs(points, ranges):
+    return sorted(
+        (
+            (r, p)
+            for r, low, high in ranges
+            for p, at in points
+            if (low is None or at >= low) and (high is None or at < high)
+        ),
+        key=repr,
+    )
+
+
+def range_cases():
     draw = random.Random(11)
     points = [(n, 0 if n % 3 == 0 else draw.randrange(-5_000, 200_000)) for n in range(600)]
     ranges = [(0, None, None), (1, None, 0), (2, 0, 1), (3, 150_000, None), (4, 9, 9), (5, 20, 3)]
     for n in range(6, 60):
         low = draw.randrange(-9_000, 220_000)
         ranges.append((n, low, low + draw.choice([1, 50, 999, 1000, 64_000, 130_000])))
+    return points, ranges
+
+
+POINTS, RANGES = "id bigint, at bigint", "range_id int, from_ms bigint, to_ms bigint"
+
+
+@pytest.mark.parametrize(
+    "far", [[], [(-1, 2**60)], [(-1, 2**63 - 1), (-2, -(2**63))]], ids=["near", "far", "ends"]
+)
+@pytest.mark.parametrize("options", [{"base_bits": 8}, {"base_bits": 8, "ranges_per_part": 5}, {"base_bits": 2}, {}])
+def test_points_within_ranges(spark, far, options):
+    points, ranges = range_cases()
+    points, ranges = points + far, [*ranges, (99, -(2**63), 2**63 - 1), (98, 2**63 - 1, None)]
     got = blocks.within_ranges(
-        spark.createDataFrame(points, "id bigint, at bigint"),
-        "at",
-        ["id"],
-        spark.createDataFrame(ranges, "range_id int, from_ms bigint, to_ms bigint"),
-        day_ms=1000,
-        **sizes,
+        spark.createDataFrame(points, POINTS), "at", spark.createDataFrame(ranges, RANGES), **options
     )
-    want = [
-        (r, p)
-        for r, low, high in ranges
-        for p, at in points
-        if (low is None or at >= low) and (high is None or at < high)
-    ]
-    assert rows_of(got.select("range_id", "id")) == sorted(want, key=repr)
+    assert rows_of(got.select("range_id", "id")) == plain_pairs(points, ranges)
+
+
+def test_blocks_of_a_range_grow_with_the_logarithm_of_its_span(spark):
+    spans = [(1 << n) + 3 for n in range(0, 61, 4)]
+    rows = spark.createDataFrame([(5, 5 + span) for span in spans], "first bigint, end bigint")
+    found = rows.select((F.col("end") - F.col("first")).alias("span"), blocks.covering_blocks("first", "end", 0).alias("b"))
+    for row in found.collect():
+        covered = sorted((block << 3 * level, (block + 1) << 3 * level) for level, block in row.b)
+        assert covered[0][0] == 5 and covered[-1][1] == 5 + row.span
+        assert all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
+        assert len(covered) <= 14 * (row.span.bit_length() // 3 + 1)
 
 
 def test_end_times_of_many_jobs_with_one_store_name(spark):
@@ -262,7 +326,7 @@ def test_end_times_of_many_jobs_with_one_store_name(spark):
         [(f"j{n}", "hot" if n % 3 else f"s{n}") for n in range(900)], "id string, store_name string"
     )
     files = spark.createDataFrame([("hot", 5), ("s0", 7)], "store_name string, end_ms bigint")
-    got = lookups.with_end_time(jobs, files, **SMALL).groupBy("end_ms").count()
+    got = lookups.with_end_time(jobs, files).groupBy("end_ms").count()
     assert rows_of(got) == [(0, 299), (5, 600), (7, 1)]
 
 
