@@ -32,20 +32,26 @@ def _life_cycle(changes: DataFrame, columns: list[str]) -> DataFrame:
     return changes.where(F.col("kind").isin(SUBMIT, FAILED, DELETE)).select(*columns)
 
 
-def assign_canonical(
-    changes: DataFrame, submission: str = "version", **sizes
+def owned(
+    changes: DataFrame, submission: str, order: list[str] = ORDER, **sizes
 ) -> DataFrame:
+    """Submissions, failures and deletes in order, with the submission whose job is the latest."""
+    chunks = Chunks(changes, ["store_name"], order, **sizes)
+    rows = with_previous(chunks, chunks.rows, "kind", "_previous")
+    starts = (F.col("kind") == SUBMIT) & F.coalesce(F.col("_previous") != SUBMIT, F.lit(True))
+    rows = rows.withColumn("_started", F.when(starts, F.col(submission)))
+    rows = with_latest(chunks, rows, "_started", "canonical")
+    return chunks.done(rows).drop("_previous", "_started")
+
+
+def assign_canonical(changes: DataFrame, submission: str = "version", **sizes) -> DataFrame:
     """(submission, store_name, canonical): the submission whose job each submission ends up with.
 
     A submission starts a job when it comes first or follows a failure or a delete; otherwise it
     reuses the job started last.
     """
     columns = list(dict.fromkeys(["store_name", "kind", *ORDER, submission]))
-    chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, **sizes)
-    rows = with_previous(chunks, chunks.rows, "kind", "_previous")
-    starts = (F.col("kind") == SUBMIT) & F.coalesce(F.col("_previous") != SUBMIT, F.lit(True))
-    rows = rows.withColumn("_started", F.when(starts, F.col(submission)))
-    rows = with_latest(chunks, rows, "_started", "canonical")
+    rows = owned(_life_cycle(changes, columns), submission, **sizes)
     return rows.where(F.col("kind") == SUBMIT).select(submission, "store_name", "canonical")
 
 

@@ -448,7 +448,10 @@ check(
 check(
     "replay_and_tail",
     ["subscriptions_fx", "live_log_fx"],
-    f"select * from {TAILED} t",
+    f"""select *, true as job_found from {TAILED} t
+        union all
+        select subscriber, job_id, null, null, null, false from {OFFSETS} s
+        where error_code is null and job_id not in (select job_id from event_log_fx)""",
 )
 check(
     "stream_dedupe_delivery",

@@ -38,6 +38,9 @@ SKETCH = 8192
 # The sketches of all tasks are merged in so many groups first.
 MERGE_GROUPS = 64
 
+# Places among the points of so many order values fit one chunk number.
+MOST_VALUES = 5
+
 # A text is ordered by this many times seven bytes from its start.
 TEXT_PARTS = 3
 LEAST = -(2**63)
@@ -158,6 +161,8 @@ class Chunks:
         self.order = order
         key_hash = F.xxhash64(*key)
         images = [image for name in order for image in order_values(df, name)]
+        if len(images) > MOST_VALUES:
+            raise ValueError(f"cannot cut a key by {len(images)} order values")
         found = sketch(df, key_hash, images, hot_rows, cuts)
         hot = F.coalesce(F.array_contains(found.getField("hot"), key_hash), F.lit(False))
         rows = df.select(
@@ -212,19 +217,27 @@ class Chunks:
         return rows.drop(KEY, CHUNK)
 
 
-def running_sum(chunks: Chunks, rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Sum of `column` over the rows of the key before each row, 0 for the first."""
+def running_sums(chunks: Chunks, rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Adds for each (name, column) the sum of the column over the rows of the key before a row."""
     before = chunks.ordered().rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_so_far", F.coalesce(F.sum(column).over(before), F.lit(0)))
+    local = rows.withColumns({f"_so_far_{name}": F.sum(column).over(before) for name, column in sums.items()})
     seen = chunks.with_neighbours(
         local,
-        {"_total": F.sum(column)},
+        {f"_total_{name}": F.sum(column) for name, column in sums.items()},
         lambda over: {
-            "_before": F.sum("_total").over(over.rowsBetween(Window.unboundedPreceding, -1))
+            f"_before_{name}": F.sum(f"_total_{name}").over(
+                over.rowsBetween(Window.unboundedPreceding, -1)
+            )
+            for name in sums
         },
     )
-    total = F.col("_so_far") + F.coalesce(F.col("_before"), F.lit(0))
-    return seen.withColumn(name, total.cast("bigint")).drop("_so_far", "_before")
+    totals = {
+        name: (
+            F.coalesce(f"_so_far_{name}", F.lit(0)) + F.coalesce(f"_before_{name}", F.lit(0))
+        ).cast("bigint")
+        for name in sums
+    }
+    return seen.withColumns(totals).drop(*[f"_{part}_{name}" for part in ("so_far", "before") for name in sums])
 
 
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str, **sizes) -> DataFrame:

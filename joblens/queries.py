@@ -10,6 +10,7 @@ from joblens import fixtures
 from joblens.operators import delivery, logs, lookups, resolve, state
 from joblens.session import scratch_dir
 from joblens.sources import completed, records, results, snapshots
+from joblens.streaming import batches
 from joblens.streaming import delivery as live_delivery
 from joblens.streaming import logs as live_logs
 from joblens.streaming import run
@@ -24,6 +25,8 @@ SUBSCRIBED_AT = "2024-01-01 00:00:03"
 ENTRIES_PER_FILE = 10_000
 NESTED_ROWS = 4
 PIECE_BYTES = 997
+EVENT_BATCHES = 2
+SUBSCRIPTION_BATCHES = 4
 
 
 def query(build: Query) -> Query:
@@ -418,14 +421,16 @@ def decode_records(spark, sf_dir):
 @query
 def stream_transitions(spark, sf_dir):
     changes = stream_view(spark, sf_dir, "statuses_fx", "events")
-    rows = run.drain(live_state.stream_transitions(changes), "transitions")
+    schema = live_state.transitions_schema(changes)
+    rows = batches.drain_batches(changes, "transitions", live_state.stream_transitions, schema)
     return rows.select("job_id", "seq", "status", "version")
 
 
 @query
 def stream_canonical(spark, sf_dir):
     changes = stream_view(spark, sf_dir, "job_changes_fx", "events")
-    return run.drain(live_state.stream_canonical(changes), "canonical")
+    schema = live_state.canonical_schema(changes)
+    return batches.drain_batches(changes, "canonical", live_state.stream_canonical, schema)
 
 
 def log_pieces(logs_fx: DataFrame, size: int = PIECE_BYTES) -> DataFrame:
@@ -447,7 +452,8 @@ def log_pieces(logs_fx: DataFrame, size: int = PIECE_BYTES) -> DataFrame:
 @query
 def stream_split_logs(spark, sf_dir):
     pieces = log_pieces(stream_view(spark, sf_dir, "logs_fx", "documents"))
-    return run.drain(live_logs.stream_split_logs(pieces), "split-logs")
+    schema = live_logs.log_events_schema(pieces)
+    return batches.drain_batches(pieces, "split-logs", live_logs.stream_split_logs, schema)
 
 
 @query
@@ -460,17 +466,31 @@ def upsert_stream(spark, sf_dir):
     return rows.select("job_id", "store_name", "kind", "version")
 
 
-def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscribed(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted, _ = delivery.resume_offsets(view(spark, sf_dir, "subscriptions_fx"))
-    wanted = wanted.withColumn("subscribed_at", F.lit(SUBSCRIBED_AT).cast("timestamp"))
+    return wanted.withColumn("subscribed_at", F.lit(SUBSCRIBED_AT).cast("timestamp"))
+
+
+def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = stream_view(spark, sf_dir, "live_log_fx", "conversations")
     log = log.withColumn("ts", F.col("ts").cast("timestamp"))
-    return live_delivery.replay_and_tail(log, wanted)
+    return live_delivery.follow(log, subscribed(spark, sf_dir))
 
 
 @query
 def replay_and_tail(spark, sf_dir):
-    return run.drain(tailed(spark, sf_dir).drop("ts"), "tail")
+    """Events come in EVENT_BATCHES batches, subscriptions in more: some before the events of their
+    job, some in between, some after all events."""
+    log = view(spark, sf_dir, "live_log_fx").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = run.in_batches(log, F.pmod("seq", F.lit(EVENT_BATCHES)), EVENT_BATCHES, "events")
+    asked = subscribed(spark, sf_dir)
+    turn = F.pmod(F.col("subscriber") / 10, F.lit(SUBSCRIPTION_BATCHES))
+    asked = run.in_batches(asked, turn, SUBSCRIPTION_BATCHES, "subscriptions")
+    jobs = view(spark, sf_dir, "event_log_fx").select("job_id").distinct()
+    base = scratch_dir(spark, "tail")
+    live_delivery.replay_and_tail(events, asked, base, jobs).awaitTermination()
+    rows = batches.stored(spark, base, "out", live_delivery.deliveries_schema(events, asked))
+    return rows.drop("batch", "ts")
 
 
 @query

@@ -2,95 +2,93 @@
 
 import hashlib
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-from joblens.operators.state import latest_by
+from joblens.operators.state import latest_by, owned
+from joblens.plans.ordered import Chunks, running_sums, with_previous
 from joblens.schemas import CREATED, DELETE, FAILED, SUBMIT
 from joblens.sources import snapshots
+from joblens.streaming.batches import FOLD_EVERY, TURN, KeyedState, put, run_batches
 
-NO_TIMEOUT = "NoTimeout"
-
-
-def stream_transitions(stream: DataFrame) -> DataFrame:
-    """(job_id, seq, status, ts, version): numbered status changes, continuously.
+ORDER = [TURN, "ts", "version"]
 
-    Takes (job_id, status, ts, version).
-    """
-    first_status = CREATED
-
-    def advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, sent = state.get if state.exists else (first_status, 0)
-        parts = list(frames)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-        rows = rows.iloc[np.lexsort((rows["version"], rows["ts"]))]
-        status = rows["status"].to_numpy()
-        changed = status != np.concatenate(([last], status[:-1]))
-        count = int(changed.sum())
-        state.update((status[-1], sent + count))
-        if count:
-            rows = rows[changed]
-            rows.insert(1, "seq", np.arange(sent, sent + count))
-            yield rows
 
+def transitions_schema(stream: DataFrame) -> str:
     types = dict(stream.dtypes)
-    output = (
+    return (
         f"job_id {types['job_id']}, seq bigint, status string, "
         f"ts {types['ts']}, version {types['version']}"
     )
-    return (
-        stream.select("job_id", "status", "ts", "version")
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            advance, output, "last string, sent bigint", "append", NO_TIMEOUT
-        )
-    )
 
 
-def stream_canonical(stream: DataFrame) -> DataFrame:
-    """(version, store_name, canonical): which submission's job each submission ends up with.
+def stream_transitions(
+    stream: DataFrame, base: str, fold_every: int = FOLD_EVERY, trigger: dict | None = None, **sizes
+) -> StreamingQuery:
+    """Start a query that puts (job_id, seq, status, ts, version), numbered status changes, out.
 
-    Takes (version, store_name, kind, ts). Kinds that neither start nor end a job are dropped
-    before they reach the state.
+    Takes (job_id, status, ts, version). A job carries its last status and how many it has sent.
     """
-    submit = SUBMIT
-
-    def advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else None
-        parts = list(frames)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-        rows = rows.iloc[np.lexsort((rows["version"], rows["ts"]))]
-        version, is_submit = rows["version"].to_numpy(), (rows["kind"] == submit).to_numpy()
-        starts = is_submit & ~np.concatenate(([active is not None], is_submit[:-1]))
-        # Position of the latest start, -1 while the job from earlier batches still owns the rows.
-        latest = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), -1))
-        owner = np.where(latest < 0, active or 0, version[latest])
-        state.update((int(owner[-1]) if is_submit[-1] else None,))
-        if is_submit.any():
-            yield pd.DataFrame(
-                {
-                    "version": version[is_submit],
-                    "store_name": key[0],
-                    "canonical": owner[is_submit],
-                }
-            )
-
-    relevant = stream.where(F.col("kind").isin(SUBMIT, FAILED, DELETE))
-    return (
-        relevant.select("version", "store_name", "kind", "ts")
-        .groupBy("store_name")
-        .applyInPandasWithState(
-            advance,
-            "version bigint, store_name string, canonical bigint",
-            "active bigint",
-            "append",
-            NO_TIMEOUT,
+    spark, types = stream.sparkSession, dict(stream.dtypes)
+    columns = f"job_id {types['job_id']}, status string, sent bigint"
+    state = KeyedState(spark, base, "job_id", columns, fold_every)
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select(F.lit(1).alias(TURN), "job_id", "status", "ts", "version")
+        carried = state.carried(new, number).withColumn(TURN, F.lit(0))
+        rows = new.unionByName(carried, allowMissingColumns=True)
+        chunks = Chunks(rows, ["job_id"], ORDER, **sizes)
+        rows = with_previous(chunks, chunks.rows, "status", "_previous")
+        changed = F.col("status") != F.coalesce("_previous", F.lit(CREATED))
+        rows = rows.withColumn("_sent", F.coalesce("sent", changed.cast("bigint")))
+        rows = chunks.done(running_sums(chunks, rows, {"seq": "_sent"})).persist()
+        out = rows.where((F.col(TURN) == 1) & (F.col("_sent") == 1))
+        put(out.select("job_id", "seq", "status", "ts", "version"), base, "out", number)
+        last = F.max_by("status", F.struct(*ORDER)).alias("status")
+        kept = rows.groupBy("job_id").agg(last, F.sum("_sent").alias("sent"))
+        state.write(kept.withColumn("gone", F.lit(False)), number)
+        rows.unpersist()
+
+    return run_batches(stream, base, step, **(trigger or {}))
+
+
+def canonical_schema(stream: DataFrame) -> str:
+    return f"version {dict(stream.dtypes)['version']}, store_name string, canonical bigint"
+
+
+def stream_canonical(
+    stream: DataFrame, base: str, fold_every: int = FOLD_EVERY, trigger: dict | None = None, **sizes
+) -> StreamingQuery:
+    """Start a query that puts (version, store_name, canonical) out: which submission's job each
+    submission ends up with.
+
+    Takes (version, store_name, kind, ts). A store name carries the submission of its job while it
+    has one.
+    """
+    spark, types = stream.sparkSession, dict(stream.dtypes)
+    columns = f"store_name string, version {types['version']}"
+    state = KeyedState(spark, base, "store_name", columns, fold_every)
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.where(F.col("kind").isin(SUBMIT, FAILED, DELETE))
+        new = new.select(F.lit(1).alias(TURN), "store_name", "kind", "ts", "version")
+        carried = state.carried(new, number).withColumns({TURN: F.lit(0), "kind": F.lit(SUBMIT)})
+        rows = new.unionByName(carried, allowMissingColumns=True)
+        rows = owned(rows, "version", ORDER, **sizes).persist()
+        out = rows.where((F.col(TURN) == 1) & (F.col("kind") == SUBMIT))
+        put(out.select("version", "store_name", "canonical"), base, "out", number)
+        last = F.max_by(F.struct("kind", "canonical"), F.struct(*ORDER)).alias("_last")
+        kept = rows.groupBy("store_name").agg(last).select(
+            "store_name",
+            F.col("_last.canonical").alias("version"),
+            (F.col("_last.kind") != SUBMIT).alias("gone"),
         )
-    )
+        state.write(kept, number)
+        rows.unpersist()
+
+    return run_batches(stream, base, step, **(trigger or {}))
 
 
 def upsert_stream(
