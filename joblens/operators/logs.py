@@ -4,12 +4,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblens.functions.names import utf8
-from joblens.plans.blocks import floor_div
-from joblens.plans.ordered import Chunks, numbered, with_next, with_previous
+from joblens.plans.ordered import Chunks, numbered, with_previous
 from joblens.schemas import CREATED, LINE_EVENT, RETURN_EVENT, STATUS_EVENT
 
-# Most events a nested row may hold. Longer jobs take several rows.
-SEGMENT_ROWS = 65_536
+# Output beyond this takes another row.
+SEGMENT_BYTES = 8 << 20
 
 
 def log_tokens(log: Column) -> Column:
@@ -67,24 +66,34 @@ def output_events(events: DataFrame) -> DataFrame:
 
 
 def assemble_raw_output(
-    events: DataFrame,
-    job_id: str = "job_id",
-    segment_rows: int = SEGMENT_ROWS,
-    **sizes,
+    events: DataFrame, job_id: str = "job_id", segment_bytes: int = SEGMENT_BYTES, **sizes
 ) -> DataFrame:
     """(job_id, part, raw_output): the captured text, every line ended by its terminator.
 
-    A job of more than `segment_rows` events takes several parts; joined in order they are the text.
+    A job of more than `segment_bytes` takes several parts; joined in order they are the text. A part
+    is smaller than that and one line; a line that is longer leaves part numbers out.
     """
-    chunks = Chunks(
-        output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], **sizes
+    narrow = output_events(events).select(job_id, "seq", "name", "data")
+    is_line = F.col("name") == LINE_EVENT
+    size = F.when(is_line, F.octet_length("data") + 1).otherwise(0).alias("_size")
+    chunks = Chunks(narrow.select("*", size), [job_id], ["seq"], **sizes)
+    rows = chunks.rows.withColumn("_after", F.lead("name").over(chunks.ordered()))
+    before = chunks.ordered().rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_so_far", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    rows = chunks.with_neighbours(
+        rows,
+        {"_edge": F.min_by("name", chunks.at()), "_bytes": F.sum("_size")},
+        lambda over: {
+            "_next": F.lead("_edge").over(over),
+            "_earlier": F.sum("_bytes").over(over.rowsBetween(Window.unboundedPreceding, -1)),
+        },
     )
-    rows = with_next(chunks, chunks.rows, "name", "_next")
-    terminator = F.when(F.col("_next") == RETURN_EVENT, "\r").otherwise("\n")
-    lines = rows.where(F.col("name") == LINE_EVENT).select(
+    is_return = F.coalesce("_after", "_next") == RETURN_EVENT
+    place = F.col("_so_far") + F.coalesce(F.col("_earlier"), F.lit(0))
+    lines = rows.where(is_line).select(
         job_id,
-        floor_div(F.col("seq"), segment_rows).alias("part"),
-        F.struct("seq", F.concat("data", terminator).alias("text")).alias("_line"),
+        F.call_function("div", place, F.lit(segment_bytes)).alias("part"),
+        F.struct("seq", F.concat("data", F.when(is_return, "\r").otherwise("\n")).alias("text")).alias("_line"),
     )
     collected = lines.groupBy(job_id, "part").agg(
         F.sort_array(F.collect_list("_line")).alias("_lines")
@@ -101,18 +110,28 @@ def fold_terminal(events: DataFrame, job_id: str = "job_id", **sizes) -> DataFra
         output_events(events).select(job_id, "seq", "name", "data"), [job_id], ["seq"], **sizes
     )
     line_seq = F.when(F.col("name") == LINE_EVENT, F.col("seq"))
-    rows = with_next(chunks, chunks.rows, "name", "_next").withColumn(
-        "_last_line", F.max(line_seq).over(chunks.whole())
+    rows = chunks.rows.withColumns(
+        {
+            "_after": F.lead("name").over(chunks.ordered()),
+            "_last_line": F.max(line_seq).over(chunks.whole()),
+        }
     )
     rows = chunks.with_neighbours(
         rows,
-        {"_line": F.max(line_seq)},
+        {"_edge": F.min_by("name", chunks.at()), "_line": F.max(line_seq)},
         lambda over: {
+            "_next_edge": F.lead("_edge").over(over),
             "_line_of_job": F.max("_line").over(
                 over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            )
+            ),
         },
-    ).withColumn("_last_line", F.coalesce("_line_of_job", "_last_line"))
+    )
+    rows = rows.withColumns(
+        {
+            "_next": F.coalesce("_after", "_next_edge"),
+            "_last_line": F.coalesce("_line_of_job", "_last_line"),
+        }
+    )
     overwritten = (F.col("_next") == RETURN_EVENT) & (F.col("_last_line") > F.col("seq"))
     shown = rows.where((F.col("name") == LINE_EVENT) & ~F.coalesce(overwritten, F.lit(False)))
     return shown.select(job_id, "seq", "data")

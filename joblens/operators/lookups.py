@@ -69,6 +69,27 @@ def with_end_time(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("end_ms", F.coalesce("_end_ms", F.lit(0))).drop("_end_ms")
 
 
+def ended_within(
+    jobs: DataFrame, files: DataFrame, from_ms: int | None, to_ms: int | None
+) -> DataFrame:
+    """Jobs with `end_ms` in [from_ms, to_ms), None for no bound.
+
+    The range is a filter on the files alone, which reaches their scan. A job without a file ended
+    at 0; such jobs are looked for only if the range holds 0.
+    """
+    ends = files.select("store_name", "end_ms").where(F.col("end_ms").isNotNull())
+    inside = ends
+    if from_ms is not None:
+        inside = inside.where(F.col("end_ms") >= from_ms)
+    if to_ms is not None:
+        inside = inside.where(F.col("end_ms") < to_ms)
+    rows = jobs.join(inside, "store_name")
+    if (from_ms or 0) <= 0 and (to_ms is None or to_ms > 0):
+        missing = jobs.join(ends, "store_name", "left_anti")
+        rows = rows.unionByName(missing.withColumn("end_ms", F.lit(0).cast("bigint")))
+    return rows
+
+
 def history(
     jobs: DataFrame,
     files: DataFrame,
@@ -80,11 +101,7 @@ def history(
     Successful jobs that ended in [from_ms, to_ms).
     """
     finished = jobs.where(F.col("status") == SUCCESSFUL).select("id", "store_name", "file_name")
-    rows = with_end_time(finished, files)
-    if from_ms is not None:
-        rows = rows.where(F.col("end_ms") >= from_ms)
-    if to_ms is not None:
-        rows = rows.where(F.col("end_ms") < to_ms)
+    rows = ended_within(finished, files, from_ms, to_ms)
     named = rows.where(F.col("file_name").isNotNull()).orderBy(F.desc("end_ms"), "id")
     unnamed = rows.where(F.col("file_name").isNull())
     return (
@@ -124,6 +141,15 @@ def property_of(ids: DataFrame, by_id: DataFrame, prop: str) -> DataFrame:
     return rows.withColumn("error_code", F.when(F.col("value").isNull(), "not_found"))
 
 
+def property_parts(ids: DataFrame, parts: DataFrame, prop: str, job_id: str = "job_id") -> DataFrame:
+    """(id, part, value, error_code) of each distinct id, for a property that is stored in parts; one
+    row without a value where there is no part."""
+    stored = parts.select(F.col(job_id).alias("id"), "part", F.col(prop).alias("value"))
+    stored = stored.where(F.col("value").isNotNull())
+    rows = ids.select("id").distinct().join(stored, "id", "left")
+    return rows.withColumn("error_code", F.when(F.col("value").isNull(), "not_found"))
+
+
 def export_manifest(ids: DataFrame, by_id: DataFrame, files: DataFrame) -> DataFrame:
     """(id, code, error_code, status, content_length, content_disposition) of each distinct id.
 

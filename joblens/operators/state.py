@@ -2,10 +2,10 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblens.plans.ordered import Chunks, with_latest, with_previous
+from joblens.plans.ordered import Chunks
 from joblens.schemas import CONVERTING, DELETE, FAILED, SUBMIT, SUCCESSFUL
 
 ORDER = ["ts", "version"]
@@ -37,11 +37,41 @@ def owned(
 ) -> DataFrame:
     """Submissions, failures and deletes in order, with the submission whose job is the latest."""
     chunks = Chunks(changes, ["store_name"], order, **sizes)
-    rows = with_previous(chunks, chunks.rows, "kind", "_previous")
-    starts = (F.col("kind") == SUBMIT) & F.coalesce(F.col("_previous") != SUBMIT, F.lit(True))
-    rows = rows.withColumn("_started", F.when(starts, F.col(submission)))
-    rows = with_latest(chunks, rows, "_started", "canonical")
-    return chunks.done(rows).drop("_previous", "_started")
+    ordered, at = chunks.ordered(), chunks.at()
+    is_submit = F.col("kind") == SUBMIT
+    rows = chunks.rows.withColumns(
+        {
+            "_previous": F.lag("kind").over(ordered),
+            "_first": F.first(F.struct("kind", F.col(submission).alias("of"))).over(ordered),
+        }
+    )
+    # Whether the first row of a chunk starts a job depends on the chunk before.
+    inner = F.when(is_submit & (F.col("_previous") != SUBMIT), F.col(submission))
+    rows = rows.withColumn("_started", inner)
+    rows = rows.withColumn("_latest", F.last("_started", ignorenulls=True).over(ordered))
+    first_start = F.when(
+        (F.col("_first.kind") == SUBMIT) & F.coalesce(F.col("_last_kind") != SUBMIT, F.lit(True)),
+        F.col("_first.of"),
+    )
+    rows = chunks.with_neighbours(
+        rows,
+        {
+            "_kind": F.max_by("kind", at),
+            "_inner": F.max_by("_started", F.when(F.col("_started").isNotNull(), at)),
+            "_first": F.min_by("_first", at),
+        },
+        lambda over: {
+            "_last_kind": F.col("_last_kind"),
+            "_owner": F.last(F.coalesce("_inner", first_start), ignorenulls=True).over(
+                over.rowsBetween(Window.unboundedPreceding, -1)
+            ),
+        },
+        lambda over: {"_last_kind": F.lag("_kind").over(over)},
+    )
+    rows = rows.withColumn("canonical", F.coalesce("_latest", first_start, "_owner"))
+    return chunks.done(rows).drop(
+        "_previous", "_first", "_started", "_latest", "_last_kind", "_owner"
+    )
 
 
 def assign_canonical(changes: DataFrame, submission: str = "version", **sizes) -> DataFrame:
@@ -60,15 +90,31 @@ def stale_stores(changes: DataFrame, **sizes) -> DataFrame:
     columns = ["store_name", "kind", *ORDER]
     chunks = Chunks(_life_cycle(changes, columns), ["store_name"], ORDER, **sizes)
     # A failure counts only while there is a job: after a submission, not after a delete.
-    rows = chunks.rows.withColumn("_owner", F.when(F.col("kind") != FAILED, F.col("kind")))
-    rows = with_latest(chunks, rows, "_owner", "_owner_now")
-    rows = rows.withColumn("_failed", (F.col("kind") == FAILED) & (F.col("_owner_now") == SUBMIT))
-    rows = with_previous(chunks, rows, "_failed", "_after_failure")
-    return (
-        rows.where((F.col("kind") == SUBMIT) & F.col("_after_failure"))
-        .select("store_name")
-        .distinct()
+    ordered, at = chunks.ordered(), chunks.at()
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.rows.withColumn("_ends", F.when(F.col("kind") != FAILED, F.col("kind")))
+    rows = rows.withColumns(
+        {
+            "_previous": F.lag("kind").over(ordered),
+            "_owner": F.last("_ends", ignorenulls=True).over(earlier),
+        }
+    )
+    rows = chunks.with_neighbours(
+        rows,
+        {
+            "_kind": F.max_by("kind", at),
+            "_end": F.max_by("_ends", F.when(F.col("_ends").isNotNull(), at)),
+        },
+        lambda over: {
+            "_last_kind": F.lag("_kind").over(over),
+            "_last_owner": F.last("_end", ignorenulls=True).over(
+                over.rowsBetween(Window.unboundedPreceding, -1)
+            ),
+        },
     )
+    after_failure = F.coalesce("_previous", "_last_kind") == FAILED
+    had_job = F.coalesce("_owner", "_last_owner") == SUBMIT
+    return rows.where((F.col("kind") == SUBMIT) & after_failure & had_job).select("store_name").distinct()
 
 
 def stale_results(
@@ -162,6 +208,58 @@ class AfterDelete(NamedTuple):
     not_found: DataFrame
 
 
+def cascade_marks(
+    ids: DataFrame, by_id: DataFrame, by_store: DataFrame, completed: DataFrame, files: DataFrame
+) -> DataFrame:
+    """(view, by_id, by_store, completed, files, not_found): every row that is left, as a struct in
+    the column of its view, and the ids that do not exist.
+
+    Two aggregates over tagged rows: one marks ids, one marks the store names of the ids found.
+    """
+    empty = {"_asked": F.lit(False), "_row": F.lit(None).cast(by_id.schema)}
+    jobs = ids.select("id", F.lit(True).alias("_asked"), empty["_row"].alias("_row")).unionByName(
+        by_id.select("id", empty["_asked"].alias("_asked"), F.struct("*").alias("_row"))
+    )
+    jobs = jobs.groupBy("id").agg(
+        F.bool_or("_asked").alias("_asked"), F.collect_list("_row").alias("_rows")
+    )
+    stores = {"by_store": by_store, "completed": completed, "files": files}
+    kept = {name: F.lit(None).cast(rows.schema).alias(name) for name, rows in stores.items()}
+    no_id = F.lit(None).cast(by_id.schema["id"].dataType).alias("not_found")
+    gone = jobs.where("_asked").select(F.explode("_rows").alias("_row"))
+    tagged = gone.select(
+        F.col("_row.store_name").alias("store_name"), F.lit(True).alias("_gone"), *kept.values()
+    )
+    for name, rows in stores.items():
+        columns = kept | {name: F.struct("*").alias(name)}
+        tagged = tagged.unionByName(rows.select("store_name", F.lit(False).alias("_gone"), *columns.values()))
+    by_name = tagged.groupBy("store_name").agg(
+        F.bool_or("_gone").alias("_gone"), *[F.collect_list(name).alias(name) for name in stores]
+    )
+    no_job = F.lit(None).cast(by_id.schema).alias("by_id")
+
+    def of_view(name: str):
+        """Entries of one view as rows of all views."""
+        others = {other: F.lit(None).cast(rows.schema).alias(other) for other, rows in stores.items()}
+        return lambda entry: F.struct(
+            F.lit(name).alias("view"), *(others | {name: entry.alias(name)}).values()
+        )
+
+    left = [F.transform(name, of_view(name)) for name in stores]
+    stores_left = by_name.where("not _gone").select(F.inline(F.concat(*left)))
+    found = F.size("_rows") > 0
+    # each branch asks for both columns, so that all read one exchange
+    rows_left = jobs.where(~F.col("_asked") & found).select(
+        F.lit("by_id").alias("view"), F.explode("_rows").alias("by_id"), *kept.values(), no_id
+    )
+    missing = jobs.where(F.col("_asked") & ~found).select(
+        F.lit("not_found").alias("view"), no_job, *kept.values(), F.col("id").alias("not_found")
+    )
+    return rows_left.unionByName(missing).unionByName(
+        stores_left.select("view", no_job, *stores, no_id)
+    )
+
+
 def cascade_delete(
     ids: DataFrame, by_id: DataFrame, by_store: DataFrame, completed: DataFrame, files: DataFrame
 ) -> AfterDelete:
@@ -170,12 +268,10 @@ def cascade_delete(
     A deleted job takes its store name's dedup entry, completed record and file with it. Other jobs
     of the same store name stay in the primary view.
     """
-    wanted = ids.select("id").distinct()
-    stores = by_id.join(wanted, "id", "left_semi").select("store_name").distinct()
-    return AfterDelete(
-        by_id=by_id.join(wanted, "id", "left_anti"),
-        by_store=by_store.join(stores, "store_name", "left_anti"),
-        completed=completed.join(stores, "store_name", "left_anti"),
-        files=files.join(stores, "store_name", "left_anti"),
-        not_found=wanted.join(by_id, "id", "left_anti"),
-    )
+    marks = cascade_marks(ids, by_id, by_store, completed, files)
+
+    def part(name: str) -> DataFrame:
+        return marks.where(F.col("view") == name).select(f"{name}.*")
+
+    missing = marks.where("view = 'not_found'").select(F.col("not_found").alias("id"))
+    return AfterDelete(part("by_id"), part("by_store"), part("completed"), part("files"), missing)

@@ -1,7 +1,7 @@
 """The same queries as plain SQL over the same tables, to check results against."""
 
 from joblens.fixtures import with_views
-from joblens.queries import HISTORY_FROM_MS, HISTORY_TO_MS, NESTED_ROWS, SUBSCRIBED_AT
+from joblens.queries import HISTORY_FROM_MS, HISTORY_TO_MS, NESTED_BYTES, PART_BYTES, SUBSCRIBED_AT
 
 CHECKS: dict[str, tuple[list[str], str]] = {}
 
@@ -77,6 +77,17 @@ EVENTS = """
            where sep <> '' or line <> '') e)
 """
 
+RAW_PARTS = f"""
+    (select job_id, cast(coalesce(before, 0) // {PART_BYTES} as bigint) as part,
+            string_agg(data || case when after = 'carriageReturn' then chr(13) else chr(10) end, '' order by seq)
+              as raw_output
+     from (select *, lead(name) over (partition by job_id order by seq) as after,
+                  sum(case when name = 'outputLine' then strlen(data) + 1 else 0 end) over
+                    (partition by job_id order by seq rows between unbounded preceding and 1 preceding) as before
+           from {EVENTS} e) p
+     where name = 'outputLine' group by all)
+"""
+
 TRANSITIONS = """
     (select job_id, version, ts, status from
        (select *, lag(status, 1, 'CREATED') over (partition by job_id order by ts, version) as was
@@ -212,16 +223,24 @@ check(
 check(
     "assemble_raw_output",
     ["logs_fx"],
-    """select job_id, 0::bigint as part,
-              case when regexp_matches(log, '[\\r\\n]$') then log else log || chr(10) end as raw_output
-       from logs_fx where log <> ''""",
+    f"select * from {RAW_PARTS} r",
+)
+check(
+    "raw_output_of",
+    ["logs_fx"],
+    f"""select j.id, r.part, r.raw_output as value,
+               case when r.raw_output is null then 'not_found' end as error_code
+        from (select doc_id as id from documents union all select doc_id + 1000000000 from documents) j
+        left join {RAW_PARTS} r on r.job_id = j.id""",
 )
 check(
     "nest_events",
     ["event_log_fx"],
-    f"""select job_id, cast(seq // {NESTED_ROWS} as bigint) as segment,
+    f"""select job_id, cast(coalesce(before, 0) // {NESTED_BYTES} as bigint) as segment,
                string_agg(concat_ws('|', seq, name, data), chr(10) order by seq) as events
-        from event_log_fx group by all""",
+        from (select *, sum(16 + coalesce(strlen(name), 0) + coalesce(strlen(data), 0)) over
+                (partition by job_id order by seq rows between unbounded preceding and 1 preceding) as before
+              from event_log_fx) e group by all""",
 )
 check("unnest_events", ["event_log_fx"], "select * from event_log_fx")
 check(

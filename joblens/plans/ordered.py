@@ -83,7 +83,9 @@ def sketch(
 
     Merged from a sketch per task; its size does not depend on the number of rows.
     """
-    ranks = F.lit([at / cuts for at in range(1, cuts)])
+    # one literal instead of one per rank
+    shares = ",".join(str(at / cuts) for at in range(1, cuts))
+    ranks = F.split(F.lit(shares), ",").cast("array<double>")
     sketched = {f"s{n}": F.kll_sketch_agg_bigint(F.col(f"o{n}"), SKETCH) for n in range(len(images))}
     merged = {f"s{n}": F.kll_merge_agg_bigint(F.col(f"s{n}")) for n in range(len(images))}
     narrow = rows.select(
@@ -192,11 +194,12 @@ class Chunks:
         rows: DataFrame,
         summary: dict[str, Column],
         carried: Callable[[WindowSpec], dict[str, Column]],
+        before: Callable[[WindowSpec], dict[str, Column]] = lambda over: {},
     ) -> DataFrame:
         """Attach to each row what other chunks of its key tell it.
 
-        `summary` aggregates one chunk; `carried` looks over the chunks of one key in order. Rows of
-        other keys get nulls. The join is on what the windows partition by, so the rows are not
+        `summary` aggregates one chunk; `carried` looks over the chunks of one key in order, and may
+        use columns that `before` has added to them in the same way. Rows of other keys get nulls. The join is on what the windows partition by, so the rows are not
         shuffled again. A filter before the aggregate would move below the shuffle.
         """
         summed = rows.groupBy(KEY, CHUNK).agg(
@@ -205,7 +208,7 @@ class Chunks:
         )
         chunks = summed.where(F.col("_number") > 0)
         over_chunks = Window.partitionBy(KEY).orderBy(CHUNK)
-        outlook = chunks.select(
+        outlook = chunks.withColumns(before(over_chunks)).select(
             F.col(KEY).alias("_of"),
             F.col(CHUNK).alias("_in"),
             *[column.alias(name) for name, column in carried(over_chunks).items()],
@@ -240,6 +243,17 @@ def running_sums(chunks: Chunks, rows: DataFrame, sums: dict[str, str]) -> DataF
     return seen.withColumns(totals).drop(*[f"_{part}_{name}" for part in ("so_far", "before") for name in sums])
 
 
+def with_segment(
+    df: DataFrame, key: list[str], order: list[str], size: Column, segment_size: int, name: str, **sizes
+) -> DataFrame:
+    """Adds a number that grows with the order of a key's rows, so that the rows of a number are
+    together smaller than `segment_size` and one row more. A row that is larger leaves numbers out."""
+    chunks = Chunks(df.withColumn("_size", size), key, order, **sizes)
+    rows = running_sums(chunks, chunks.rows, {"_before": "_size"})
+    segment = F.call_function("div", F.col("_before"), F.lit(segment_size))
+    return chunks.done(rows.withColumn(name, segment)).drop("_size", "_before")
+
+
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str, **sizes) -> DataFrame:
     """Dense numbers from 0 within each key."""
     chunks = Chunks(df, key, order, **sizes)
@@ -270,36 +284,3 @@ def with_previous(chunks: Chunks, rows: DataFrame, column: str, name: str) -> Da
     )
     value = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name))
     return seen.withColumn(name, value).drop("_first", "_carried")
-
-
-def with_next(chunks: Chunks, rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Value of `column` in the row after, null for the last row of a key."""
-    local = rows.withColumns(
-        {
-            name: F.lead(column).over(chunks.ordered()),
-            "_last": F.lead(F.lit(1)).over(chunks.ordered()).isNull(),
-        }
-    )
-    seen = chunks.with_neighbours(
-        local,
-        {"_edge": F.min_by(column, chunks.at())},
-        lambda over: {"_carried": F.lead("_edge").over(over)},
-    )
-    value = F.when(F.col("_last"), F.col("_carried")).otherwise(F.col(name))
-    return seen.withColumn(name, value).drop("_last", "_carried")
-
-
-def with_latest(chunks: Chunks, rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Last non-null value of `column` up to and including each row."""
-    so_far = chunks.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn(name, F.last(column, ignorenulls=True).over(so_far))
-    seen = chunks.with_neighbours(
-        local,
-        {"_edge": F.max_by(column, F.when(F.col(column).isNotNull(), chunks.at()))},
-        lambda over: {
-            "_carried": F.last("_edge", ignorenulls=True).over(
-                over.rowsBetween(Window.unboundedPreceding, -1)
-            )
-        },
-    )
-    return seen.withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried")

@@ -23,7 +23,8 @@ HISTORY_FROM_MS = 1_704_067_200_000 + 500_000
 HISTORY_TO_MS = 1_704_067_200_000 + 95_000_000
 SUBSCRIBED_AT = "2024-01-01 00:00:03"
 ENTRIES_PER_FILE = 10_000
-NESTED_ROWS = 4
+NESTED_BYTES = 500
+PART_BYTES = 3_000
 PIECE_BYTES = 997
 EVENT_BATCHES = 2
 SUBSCRIPTION_BATCHES = 4
@@ -143,19 +144,27 @@ def fold_terminal(spark, sf_dir):
 
 @query
 def assemble_raw_output(spark, sf_dir):
-    return logs.assemble_raw_output(log_events(spark, sf_dir))
+    return logs.assemble_raw_output(log_events(spark, sf_dir), segment_bytes=PART_BYTES)
+
+
+@query
+def raw_output_of(spark, sf_dir):
+    """Looks up every job, and as many that do not exist."""
+    jobs = table(spark, sf_dir, "documents").select(F.explode(F.array("doc_id", F.col("doc_id") + 10**9)).alias("id"))
+    parts = logs.assemble_raw_output(log_events(spark, sf_dir), segment_bytes=PART_BYTES)
+    return lookups.property_parts(jobs, parts, "raw_output")
 
 
 @query
 def nest_events(spark, sf_dir):
-    nested = records.nest_events(view(spark, sf_dir, "event_log_fx"), segment_rows=NESTED_ROWS)
+    nested = records.nest_events(view(spark, sf_dir, "event_log_fx"), segment_bytes=NESTED_BYTES)
     texts = F.transform("events", lambda e: F.concat_ws("|", e["seq"], e["name"], e["data"]))
     return nested.select("job_id", "segment", F.array_join(texts, "\n").alias("events"))
 
 
 @query
 def unnest_events(spark, sf_dir):
-    nested = records.nest_events(view(spark, sf_dir, "event_log_fx"), segment_rows=NESTED_ROWS)
+    nested = records.nest_events(view(spark, sf_dir, "event_log_fx"), segment_bytes=NESTED_BYTES)
     return records.unnest_events(nested)
 
 
@@ -226,25 +235,15 @@ def cascade_delete(spark, sf_dir):
     failed = jobs.where("status = 'FAILED'").select("id")
     ids = failed.unionByName(lookups_fx.join(jobs, "id", "left_anti"))
     by_store = state.latest_by_store(view(spark, sf_dir, "job_changes_fx"))
-    left = state.cascade_delete(
+    left = state.cascade_marks(
         ids,
         jobs,
         by_store,
         resolve.build_completed(outcomes(spark, sf_dir)),
         view(spark, sf_dir, "files_fx"),
     )
-    keys = {
-        "by_id": left.by_id.select(F.col("id").alias("key")),
-        "by_store": left.by_store.select(F.col("store_name").alias("key")),
-        "completed": left.completed.select(F.col("store_name").alias("key")),
-        "files": left.files.select(F.col("store_name").alias("key")),
-        "not_found": left.not_found.select(F.col("id").alias("key")),
-    }
-    parts = [rows.select(F.lit(name).alias("view"), "key") for name, rows in keys.items()]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    names = ["by_store.store_name", "completed.store_name", "files.store_name", "by_id.id", "not_found"]
+    return left.select("view", F.coalesce(*names).alias("key"))
 
 
 # Delivery

@@ -6,27 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from joblens.functions.columns import once
 from joblens.operators.resolve import split_errors
-from joblens.plans.blocks import floor_div
+from joblens.plans.ordered import with_segment
 from joblens.schemas import RECORD_EVENTS, RECORD_FIELDS, STATUSES
 from joblens.sources.snapshots import exists
 
-# Most events one nested row may hold. Longer jobs take several rows.
-SEGMENT_ROWS = 65_536
+# Events beyond this take another row. An event counts its texts and a little for its id.
+SEGMENT_BYTES = 8 << 20
+EVENT_BYTES = 16
 
 KEYED_ENTRIES = "map<string,variant>"
 
 
-def _last_of_key(entries: Column) -> Column:
-    """Entries of a map read from JSON, the last one of a repeated key."""
-    keys = F.map_keys(entries)
-    all_entries = F.map_entries(entries)
-    last_only = F.filter(
-        all_entries,
-        lambda entry, at: F.array_position(F.reverse(keys), entry["key"]) == F.size(keys) - at,
-    )
-    repeats = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.when(repeats, last_only).otherwise(all_entries)
+def last_of_keys(rows: DataFrame, entries: str) -> DataFrame:
+    """`entries` (a map read from JSON, in which a key may repeat) as an array, the last one of each key.
+
+    Sorted by key and place, an entry is the last of its key if the next one has another key. The
+    arrays are columns of their own, so that looking something up in them does not make them again.
+    """
+    rows = once(rows.withColumnRenamed(entries, "_map"), _all=F.map_entries("_map")).drop("_map")
+    places = F.transform("_all", lambda e, at: F.struct(e["key"].alias("key"), (at + 1).alias("at")))
+    rows = once(rows, _places=F.array_sort(places))
+
+    def is_last(place: Column, at: Column) -> Column:
+        following = F.try_element_at("_places", at + 2)
+        return F.coalesce(following["key"] != place["key"], F.lit(True))
+
+    last = F.transform(F.filter("_places", is_last), lambda place: F.element_at("_all", place["at"]))
+    return rows.withColumn(entries, last).drop("_all", "_places")
 
 
 def _is_nested(value: Column) -> Column:
@@ -63,7 +71,8 @@ def decode_entries(files: DataFrame) -> DataFrame:
             F.col("_entries")
         ),
     )
-    rows = opened.select("file", F.explode(_last_of_key(F.col("_entries"))).alias("_entry")).select(
+    listed = last_of_keys(opened, "_entries")
+    rows = listed.select("file", F.explode("_entries").alias("_entry")).select(
         "file", F.col("_entry.key").alias("key"), F.col("_entry.value").alias("_value")
     )
     is_object = F.schema_of_variant("_value").startswith("OBJECT<")
@@ -123,21 +132,25 @@ def decode_records(
 def nest_events(
     events: DataFrame,
     job_id: str = "job_id",
-    segment_rows: int = SEGMENT_ROWS,
+    segment_bytes: int = SEGMENT_BYTES,
     position: str = "seq",
+    **sizes,
 ) -> DataFrame:
     """(job_id, segment, events): arrays of (seq, name, data) in the order of `position`.
 
-    A job of more than `segment_rows` events takes several segments. `position` is an event's place
-    in its job, from 0; where events may lack an id, it is a column of its own (`number_events`
-    makes one) and seq stays null. An event without a position has no place, which is an error.
+    A job of more than `segment_bytes` takes several segments, each smaller than that and one event;
+    an event that is larger leaves segment numbers out. `position` is an event's place in its job;
+    where events may lack an id, it is a column of its own (`number_events` makes one) and seq stays
+    null. An event without a position has no place, which is an error.
     """
     missing = F.raise_error(F.lit(f"an event has no {position}")).cast("bigint")
     place = F.coalesce(F.col(position).cast("bigint"), missing)
-    event = F.struct(place.alias("_at"), F.struct("seq", "name", "data").alias("_of")).alias("_event")
-    placed = events.select(job_id, floor_div(place, segment_rows).alias("segment"), event)
-    ordered = F.sort_array(F.collect_list("_event"))
-    return placed.groupBy(job_id, "segment").agg(
+    placed = events.select(job_id, place.alias("_at"), "seq", "name", "data")
+    size = EVENT_BYTES + F.coalesce(F.octet_length("name"), F.lit(0)) + F.coalesce(F.octet_length("data"), F.lit(0))
+    cut = with_segment(placed, [job_id], ["_at"], size, segment_bytes, "segment", **sizes)
+    event = F.struct(F.col("_at"), F.struct("seq", "name", "data").alias("_of"))
+    ordered = F.sort_array(F.collect_list(event))
+    return cut.groupBy(job_id, "segment").agg(
         F.transform(ordered, lambda e: e["_of"]).alias("events")
     )
 

@@ -67,7 +67,7 @@ def test_raw_output_is_the_log_with_a_last_terminator(spark):
 def test_nest_and_unnest(spark):
     rows = [(1, seq, "outputLine", None if seq == 3 else str(seq)) for seq in range(10)]
     df = spark.createDataFrame(rows, "job_id int, seq bigint, name string, data string")
-    nested = records.nest_events(df.orderBy("data"), segment_rows=4)
+    nested = records.nest_events(df.orderBy("data"), segment_bytes=107)
     sizes = [(r.segment, [e.seq for e in r.events]) for r in nested.orderBy("segment").collect()]
     assert sizes == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [8, 9])]
     assert rows_of(records.unnest_events(nested)) == rows
@@ -76,7 +76,7 @@ def test_nest_and_unnest(spark):
 def test_nest_keeps_the_order_of_events_without_an_id(spark):
     rows = [(1, None if at % 3 else at, f"e{9 - at}", str(at), at) for at in range(10)]
     df = spark.createDataFrame(rows, "job_id int, seq bigint, name string, data string, at bigint")
-    nested = records.nest_events(df.orderBy("name"), segment_rows=4, position="at")
+    nested = records.nest_events(df.orderBy("name"), segment_bytes=76, position="at")
     got = [(r.segment, [(e.seq, e.data) for e in r.events]) for r in nested.orderBy("segment").collect()]
     ids = [None if at % 3 else at for at in range(10)]
     assert got == [(n, [(ids[at], str(at)) for at in range(4 * n, min(4 * n + 4, 10))]) for n in range(3)]

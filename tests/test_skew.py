@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from joblens.operators import delivery, logs, lookups, resolve, state
 from joblens.plans import blocks, ordered
+from joblens.sources import records
 
 KINDS = ["SUBMIT", "CONVERTING", "FAILED", "SUCCESSFUL", "DELETE"]
 
@@ -67,7 +68,8 @@ def test_rows_are_shuffled_once(spark, changes, tmp_path):
     for rows, summaries in (
         (logs.number_events(stored.drop("kind"), ["ts", "version"], "store_name", **SMALL), 1),
         (logs.status_transitions(stored, ["ts", "version"], "store_name", "kind", **SMALL), 1),
-        (state.assign_canonical(stored, **SMALL), 2),
+        (state.assign_canonical(stored, **SMALL), 1),
+        (state.stale_stores(stored, **SMALL), 1),
     ):
         rows.collect()
         plan = rows._jdf.queryExecution().executedPlan().toString()
@@ -242,9 +244,11 @@ def test_fold_terminal(spark, sizes):
 @pytest.mark.parametrize("sizes", [SMALL, {}])
 def test_assemble_raw_output_in_parts(spark, sizes):
     log = event_log()
-    got = logs.assemble_raw_output(spark.createDataFrame(log, EVENTS), segment_rows=50, **sizes)
+    got = logs.assemble_raw_output(spark.createDataFrame(log, EVENTS), segment_bytes=200, **sizes).collect()
+    assert max(len(row.raw_output) for row in got) < 200 + 8
+    assert max(row.part for row in got) > 15
     text = {}
-    for row in sorted(got.collect(), key=lambda r: (r.job_id, r.part)):
+    for row in sorted(got, key=lambda r: (r.job_id, r.part)):
         text[row.job_id] = text.get(row.job_id, "") + row.raw_output
     want = {}
     for job, _, name, data in sorted(log):
@@ -255,6 +259,29 @@ def test_assemble_raw_output_in_parts(spark, sizes):
     assert text == want
 
 
+@pytest.mark.parametrize("sizes", [SMALL, {}])
+def test_rows_stay_small_next_to_very_long_lines(spark, sizes):
+    """Lines of 1 MB beside lines of 10 B, a limit of 100 kB: a row has less than the limit and one line."""
+    lines = ["x" * 1_000_000 if seq % 100 == 50 else f"line {seq:05d}" for seq in range(400)]
+    log = [(1, seq, "outputLine", line) for seq, line in enumerate(lines)]
+    df = spark.createDataFrame(log, EVENTS).repartition(3)
+    parts = logs.assemble_raw_output(df, segment_bytes=100_000, **sizes).orderBy("part").collect()
+    assert "".join(row.raw_output for row in parts) == "".join(f"{line}\n" for line in lines)
+    assert max(len(row.raw_output) for row in parts) < 1_100_001
+    assert len(parts) >= 4
+    nested = records.nest_events(df, segment_bytes=100_000, **sizes).orderBy("segment").collect()
+    assert [e.data for row in nested for e in row.events] == lines
+    assert max(sum(26 + len(e.data) for e in row.events) for row in nested) < 1_100_027
+
+
+def test_property_in_parts(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,), (2,)], "id int")
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 4, "b"), (3, 0, None)], "job_id int, part bigint, raw_output string")
+    got = lookups.property_parts(ids, parts, "raw_output")
+    want = [(1, 0, "a", None), (1, 4, "b", None), (2, None, None, "not_found"), (3, None, None, "not_found")]
+    assert rows_of(got) == sorted(want, key=repr)
+
+
 def test_replay_of_a_long_log_to_many_subscribers(spark):
     log = [(0, seq, "outputLine", "x") for seq in range(500)] + [(1, 0, "status", "y")]
     asks = [(n, 0 if n % 3 else n % 2 + 1, n * 7 % 600) for n in range(200)] + [(999, 77, 0)]

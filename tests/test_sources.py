@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import time
 
 import pytest
 from conftest import rows_of
@@ -56,6 +57,21 @@ def test_read_record_store(spark, tmp_path):
     ]
 
 
+def test_repeated_keys_take_linear_time(spark):
+    """The last entry of a key counts; four times the repeats take about four times as long."""
+
+    def seconds(n: int) -> float:
+        entries = ",".join(['"k": {"id": "old", "video": "v"}'] * n + [f'"k{i}": {{"id": "{i}", "video": "v"}}' for i in range(3)])
+        files = spark.createDataFrame([("f", "{%s, \"k\": {\"id\": \"new\", \"video\": \"v\"}}" % entries)], "file string, value string")
+        start = time.perf_counter()
+        rows = records.decode_entries(files).select("key", "id").collect()
+        assert sorted(map(tuple, rows)) == [("k", "new"), *[(f"k{i}", str(i)) for i in range(3)]]
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 8 * seconds(10_000) + 2
+
+
 def test_missing_and_malformed_files(spark, tmp_path):
     rows, bad = records.read_record_store(spark, str(tmp_path / "none.json"))
     assert rows.count() == bad.count() == 0

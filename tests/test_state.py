@@ -36,6 +36,50 @@ def test_delete_keeps_other_jobs_of_the_store_name(spark):
     assert rows_of(left.not_found) == [("x",)]
 
 
+def test_delete_reads_every_table_once(spark, tmp_path):
+    columns = "id string, store_name string, v int"
+    tables = {
+        "ids": spark.createDataFrame([("a",), ("x",), ("a",)], "id string"),
+        "by_id": spark.createDataFrame([("a", "s", 1), ("b", "s", 2), ("c", "t", 3), ("d", None, 4)], columns),
+        "by_store": spark.createDataFrame([("b", "s", 5), ("c", "t", 6)], columns),
+        "completed": spark.createDataFrame([("s", "f"), ("t", "g")], "store_name string, file_name string"),
+        "files": spark.createDataFrame([("s", 1), ("u", 2)], "store_name string, end_ms bigint"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    stored = [spark.read.parquet(f"{tmp_path}/{name}") for name in tables]
+    marks = state.cascade_marks(*stored)
+    marks.collect()
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("\n+- == Initial Plan ==")]
+    own = [line for line in final.splitlines() if "FileScan parquet" in line]
+    assert len({line.split("FileScan")[1] for line in own}) == 5
+    left = state.cascade_delete(*stored)
+    assert rows_of(left.by_id) == [("b", "s", 2), ("c", "t", 3), ("d", None, 4)]
+    assert rows_of(left.by_store) == [("c", "t", 6)]
+    assert rows_of(left.completed) == [("t", "g")]
+    assert rows_of(left.files) == [("u", 2)]
+    assert rows_of(left.not_found) == [("x",)]
+
+
+def test_history_range_reaches_the_scan(spark, tmp_path):
+    jobs = [(f"j{n}", f"s{n}", "SUCCESSFUL", f"n{n}") for n in range(8)]
+    spark.createDataFrame(jobs, "id string, store_name string, status string, file_name string").write.parquet(f"{tmp_path}/jobs")
+    files = [(f"s{n}", None if n == 6 else n * 10) for n in range(7)]
+    spark.createDataFrame(files, "store_name string, end_ms bigint").write.parquet(f"{tmp_path}/files")
+    jobs_, files_ = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("jobs", "files"))
+    ends = {f"j{n}": n * 10 if n < 6 else 0 for n in range(8)}
+    for low, high in [(20, 50), (0, 20), (None, 30), (20, None), (None, None), (-5, 1), (1, 1)]:
+        rows, _ = lookups.history(jobs_, files_, low, high)
+        want = [(i, f"n{i[1:]}") for i, e in ends.items() if (low is None or e >= low) and (high is None or e < high)]
+        assert rows_of(rows) == sorted(want)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        if low is not None and low > 0:
+            assert "LeftAnti" not in plan
+        if low is not None and (high is None or high > low):
+            assert f"GreaterThanOrEqual(end_ms,{low})" in plan
+
+
 def test_purge_drops_unknown_status(spark):
     df = spark.createDataFrame([("a", None), ("b", "SUCCESSFUL"), ("c", "FAILED")], "s string, status string")
     assert rows_of(state.purge_resubmit(df)) == [("b", "SUCCESSFUL")]
