@@ -71,7 +71,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "results_fx": (
         [],
         """
-        select concat('youtube-', k) as store_name, k as video_id, event_id % 3 as exit_code,
+        select concat('youtube-', k) as store_name, k as video_id,
+               case when event_id % 13 <> 5 then event_id % 3 end as exit_code,
                case when event_id % 9 <> 3
                     then concat('Song ', cast(event_id as string), '-', k, '.mp3') end as result_name,
                case when event_id % 11 = 0 then 'Error: io' end as exception_text,

@@ -1,7 +1,14 @@
 """The same queries as plain SQL over the same tables, to check results against."""
 
 from joblens.fixtures import with_views
-from joblens.queries import HISTORY_FROM_MS, HISTORY_TO_MS, NESTED_BYTES, PART_BYTES, SUBSCRIBED_AT
+from joblens.queries import (
+    HISTORY_FROM_MS,
+    HISTORY_TO_MS,
+    MOBILE_HOST,
+    NESTED_BYTES,
+    PART_BYTES,
+    SUBSCRIBED_AT,
+)
 
 CHECKS: dict[str, tuple[list[str], str]] = {}
 
@@ -51,8 +58,11 @@ STORE_NAME = """regexp_replace(coalesce(provider, 'unknown') || '-' || coalesce(
                                '[/\\\\?%*:|"<>]', '_', 'g')"""
 
 OUTCOMES = """
-    (select *, case when reason is null then 'SUCCESSFUL' else 'FAILED' end as status
-     from (select *, case when exception_text is not null then 'Error: ' || exception_text
+    (select *, case when error_code is null then
+                    case when reason is null then 'SUCCESSFUL' else 'FAILED' end end as status
+     from (select *, case when exit_code is null and exception_text is null then 'exit_code.missing' end as error_code,
+                  case when exit_code is null and exception_text is null then null
+                       when exception_text is not null then 'Error: ' || exception_text
                           when exit_code <> 0 then 'Bad Exit Code ' || exit_code
                           when result_name is null then 'Error: no result given' end as reason
            from results_fx) o)
@@ -200,7 +210,7 @@ check(
 check(
     "classify_outcomes",
     ["results_fx"],
-    f"select version, status, reason as failure_reason from {OUTCOMES} r",
+    f"select version, status, reason as failure_reason, error_code from {OUTCOMES} r",
 )
 check("build_completed", ["results_fx"], f"select * from {COMPLETED} c")
 check(
@@ -279,6 +289,41 @@ check(
              where not (kind = 'FAILED' and coalesce(owner, 'DELETE') = 'DELETE')) b
           where kind = 'SUBMIT' and was = 'FAILED')""",
 )
+check(
+    "stale_disconnected",
+    ["job_changes_fx", "files_fx"],
+    f""", kept as (select * from job_changes_fx where version % 4 <> 1),
+        entries as (select * from (select *, row_number() over
+                      (partition by store_name order by ts desc, version desc) as rn
+                    from job_changes_fx where kind <> 'DELETE' and version % 4 = 0) e
+                    where rn = 1 and job_id not in (select job_id from {latest('job_id')} i))
+        select * from files_fx where store_name in
+          (select store_name from
+             (select store_name, kind,
+                     lag(kind) over (partition by store_name order by ts, version) as was
+              from (select *, last_value(case when kind <> 'FAILED' then kind end ignore nulls) over
+                              (partition by store_name order by ts, version
+                               rows unbounded preceding) as owner
+                    from kept where kind in ('SUBMIT', 'FAILED', 'DELETE')) a
+              where not (kind = 'FAILED' and coalesce(owner, 'DELETE') = 'DELETE')) b
+           where kind = 'SUBMIT' and was = 'FAILED')
+         or store_name in (select e.store_name from entries e join kept k on k.store_name = e.store_name
+                           where k.kind = 'SUBMIT' and (k.ts, k.version) > (e.ts, e.version))""",
+)
+check(
+    "scan_results",
+    [],
+    "select s_name as store_name, strlen(s_name || ' ' || s_suppkey) + 1 as length from supplier",
+)
+check(
+    "dispatch_vectorised",
+    ["submissions_fx"],
+    f"""select submission_id,
+               coalesce(provider, case when host = '{MOBILE_HOST}' then 'mobile' end, 'unknown') as provider,
+               coalesce(video_id, case when host = '{MOBILE_HOST}' then
+                        regexp_extract(query, '(^|&)v=([^&]*)', 2) end, video) as id
+        from {MATCHED} m where code is null""",
+)
 check(
     "audit_disconnects",
     ["job_changes_fx"],

@@ -2,6 +2,8 @@
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from joblens.streaming import state as live_state
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+MOBILE_HOST = "m.youtube.com"
 HISTORY_FROM_MS = 1_704_067_200_000 + 500_000
 HISTORY_TO_MS = 1_704_067_200_000 + 95_000_000
 SUBSCRIBED_AT = "2024-01-01 00:00:03"
@@ -85,6 +88,21 @@ def dispatch_providers(spark, sf_dir):
     return resolved.select("submission_id", "provider", "id")
 
 
+def mobile_ids(addresses: pa.Array, hosts: pa.Array, queries: pa.Array) -> pa.Array:
+    """Ids of a second provider, with Arrow's own functions."""
+    found = pc.extract_regex(queries, r"(?:^|&)v=(?P<id>[^&]*)")
+    ids = pc.struct_field(found, "id")
+    return pc.if_else(pc.fill_null(pc.equal(hosts, MOBILE_HOST), False), ids, pa.scalar(None, pa.string()))
+
+
+@query
+def dispatch_vectorised(spark, sf_dir):
+    """Two providers: a rule of columns, and one over Arrow arrays for what it does not match."""
+    rules = [resolve.youtube_rule, resolve.vectorised_rule("mobile", mobile_ids)]
+    resolved, _ = resolve.dispatch_providers(view(spark, sf_dir, "submissions_fx"), rules)
+    return resolved.select("submission_id", "provider", "id")
+
+
 def named_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved, _ = resolve.dispatch_providers(view(spark, sf_dir, "submissions_fx"))
     return resolve.with_store_name(resolved)
@@ -111,7 +129,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classify_outcomes(spark, sf_dir):
-    return outcomes(spark, sf_dir).select("version", "status", "failure_reason")
+    return outcomes(spark, sf_dir).select("version", "status", "failure_reason", "error_code")
 
 
 @query
@@ -206,6 +224,15 @@ def stale_results(spark, sf_dir):
     return state.stale_results(changes, view(spark, sf_dir, "files_fx"))
 
 
+@query
+def stale_disconnected(spark, sf_dir):
+    """The dedup view is an old one; some of its jobs are gone and asked for again."""
+    changes = view(spark, sf_dir, "job_changes_fx")
+    old = state.latest_by(changes.where("kind <> 'DELETE' and version % 4 = 0"), "store_name")
+    gone = state.audit_disconnects(old, state.latest_by_id(changes))
+    return state.stale_results(changes.where("version % 4 <> 1"), view(spark, sf_dir, "files_fx"), gone)
+
+
 @query
 def audit_disconnects(spark, sf_dir):
     """The dedup view missed the deletes that the primary view saw."""
@@ -337,6 +364,17 @@ def progress_of_submitted(spark, sf_dir):
 # Storage
 
 
+@query
+def scan_results(spark, sf_dir):
+    """A result file per supplier."""
+    path = scratch_dir(spark, "results")
+    files = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("store_name"), F.concat_ws(" ", "s_name", "s_suppkey").alias("value")
+    )
+    files.repartition("store_name").write.partitionBy("store_name").text(path)
+    return results.scan_results(spark, path, in_folders=True).select("store_name", "length")
+
+
 @query
 def duplicate_files(spark, sf_dir):
     return results.duplicate_files(table(spark, sf_dir, "documents"), "doc_id", "text")
