@@ -136,6 +136,77 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def sequential_ring(rows, points, shards, limit):
+    """One turn after the other: (arc, turn, size), the shard of each."""
+    order = sorted({turn for _, turn, _ in rows})
+    units = defaultdict(lambda: defaultdict(list))
+    for arc, turn, size in rows:
+        units[turn][arc].append(size)
+    loads, passed, strict, current, found = [0] * shards, set(), True, None, {}
+    for turn in order:
+        if turn // sharding.TURNS != current:
+            current, passed, strict = turn // sharding.TURNS, set(), True
+        while True:
+            if strict:
+                least = 2 ** (sharding.CLASSES - current)
+                passed |= {s for s in range(shards) if loads[s] + least > limit}
+                if len(passed) == shards:
+                    strict = False
+            if not strict:
+                passed = {s for s in range(shards) if loads[s] >= limit}
+            own = sharding.owners(points, frozenset(passed))
+            sums = Counter()
+            for arc, sizes in units[turn].items():
+                sums[own[arc]] += sum(sizes)
+            full = {s for s, n in sums.items() if loads[s] + n > limit} if strict else set()
+            if not full:
+                break
+            passed |= full
+        for s, n in sums.items():
+            loads[s] += n
+        for arc in units[turn]:
+            found[arc, turn] = own[arc]
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_loads_are_those_of_a_ring_taken_row_by_row(spark, seed):
+    rng = np.random.default_rng(seed)
+    shards, points = 5, sharding.of_shards(sharding.ring(6, 16), 5)
+    sizes = np.concatenate([rng.integers(1, 4000, 300), [60_000] * (seed - 1)])
+    rows = [
+        (int(rng.integers(len(points))), int((64 - int(n).bit_length()) * sharding.TURNS + rng.integers(sharding.TURNS)), int(n))
+        for n in sizes
+    ]
+    cells = spark.createDataFrame(rows, "arc int, turn int, size long").groupBy("arc", "turn").agg(F.sum("size").alias("size"))
+    phases = sharding.bounded_loads(sharding.Cells(cells), points, shards, 0.002)
+    limit = sum(sizes) / shards * 1.002
+    got, loads = {}, Counter()
+    for arc, turn, size in rows:
+        own = [owners for since, owners in phases if since <= turn][-1]
+        got[arc, turn] = own[arc]
+        loads[own[arc]] += size
+    assert got == sequential_ring(rows, points, shards, limit)
+    assert max(loads.values()) <= limit + max(sizes)
+
+
+@pytest.mark.parametrize("large", [0, 1])
+def test_every_shard_keeps_its_limit_but_for_one_text(spark, tmp_path, large):
+    """With a text of half a mean load, and without."""
+    rng = np.random.default_rng(5)
+    texts = ["x" * int(n) for n in rng.integers(0, 900, 700)]
+    texts += ["y" * (sum(map(len, texts)) // 16)] * large
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    dealt = sharding.shard_documents(spark.read.parquet(str(tmp_path / "d")))
+    for column, count in (("shard", 8), ("moved_to", 9)):
+        loads = [r.s for r in dealt.groupBy(column).agg(F.sum("size").alias("s")).collect()]
+        mean = sum(loads) / count
+        assert len(loads) == count
+        assert max(loads) <= 1.002 * mean + 900
+        assert min(loads) >= 0.95 * mean
+
+
 def test_a_hot_key_overflows_clockwise(spark, tmp_path):
     spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("abc").alias("text")
