@@ -28,7 +28,7 @@ def put(rows: DataFrame, base: str, name: str, batch: int) -> None:
 
 def stored(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
     """All batches of a table, with their number in `batch`; no rows before the first one."""
-    if not exists(spark, f"{base}/{name}/batch=*/_SUCCESS"):
+    if not exists(spark, f"{base}/{name}/batch=*"):
         return spark.createDataFrame([], f"{schema}, batch bigint")
     return spark.read.schema(f"{schema}, batch bigint").parquet(f"{base}/{name}")
 
