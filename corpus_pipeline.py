@@ -22,8 +22,9 @@ def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def identify_language(spark, docs, sf_dir):
     """A null lang becomes the predicted one. Texts without a letter have no language and go."""
     model = language.train(docs, ~language.held_out())
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    known = language.predict(rows, model).where("lang_pred <> 'und'")
+    # the text waits once beside Python, not once more as a column of its own
+    rows = docs.select(F.struct("*").alias("row"))
+    known = language.predict(rows, model, "row.text").where("lang_pred <> 'und'")
     found = {"lang": F.coalesce(F.col("row.lang").cast("string"), "lang_pred")}
     return known.select(*[found.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 

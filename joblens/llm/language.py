@@ -72,11 +72,25 @@ def presence(text: str) -> np.ndarray:
     return seen
 
 
+def columns_of(vocabulary: np.ndarray) -> np.ndarray:
+    columns = np.full(GRAMS, -1, np.int32)
+    columns[vocabulary] = np.arange(len(vocabulary))
+    return columns
+
+
 class Model:
-    """columns: a gram's column or -1. weights: per column and language."""
+    """vocabulary: the gram of each column, sorted. weights: per column and language."""
 
-    def __init__(self, languages: list[str], columns: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.columns, self.weights, self.bias = languages, columns, weights, bias
+    def __init__(self, languages: list[str], vocabulary: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.languages, self.vocabulary, self.weights, self.bias = languages, vocabulary, weights, bias
+
+    @functools.cached_property
+    def columns(self) -> np.ndarray:
+        """A gram's column or -1; 8 MB, so a worker makes it and no message carries it."""
+        return columns_of(self.vocabulary)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "columns"}
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(raw score per text and language, whether the text has a letter)."""
@@ -100,8 +114,7 @@ def fit(languages: list[str], labels: np.ndarray, texts: list[np.ndarray]) -> Mo
         [np.flatnonzero(labels == i)[:LANDMARKS_PER_LANGUAGE] for i in range(len(languages))]
     )
     vocabulary = np.unique(np.concatenate([texts[i] for i in landmarks]))
-    columns = np.full(GRAMS, -1, np.int32)
-    columns[vocabulary] = np.arange(len(vocabulary))
+    columns = columns_of(vocabulary)
 
     def rows(numbers) -> np.ndarray:
         matrix = np.zeros((len(numbers), len(vocabulary)), np.float32)
@@ -124,7 +137,7 @@ def fit(languages: list[str], labels: np.ndarray, texts: list[np.ndarray]) -> Mo
     ridge = RIDGE * len(texts) * np.eye(centred.shape[1])
     solved = np.linalg.solve(centred.T @ centred + ridge, centred.T @ (wanted - bias))
     weights = project @ solved.astype(np.float32)
-    return Model(languages, columns, weights, (bias - shift @ solved).astype(np.float32))
+    return Model(languages, vocabulary, weights, (bias - shift @ solved).astype(np.float32))
 
 
 def train(docs: DataFrame, usable) -> Model | None:
@@ -160,8 +173,8 @@ def train(docs: DataFrame, usable) -> Model | None:
     return fit(languages, labels, [np.frombuffer(row.grams, np.int32) for row in learned])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred and score to the columns of docs (which has text)."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score to the columns of docs; text names the column or field read."""
     schema = T.StructType(
         [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
@@ -184,7 +197,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 ]
             yield pa.array([{"lang_pred": a, "score": b} for a, b in out], kind)
 
-    found = F.arrow_udf(score, returnType=schema)(F.col("text").cast("string"))
+    found = F.arrow_udf(score, returnType=schema)(F.col(text).cast("string"))
     named = docs.withColumn("__found", found)
     return named.withColumns(
         {"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}

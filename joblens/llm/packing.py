@@ -38,18 +38,26 @@ ROUNDS = 3
 SLACK = 1 / 256
 
 
+@functools.cache
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def encoder(path: str):
     """Text to ids. The rank file beside the tokenizer holds the same vocabulary and is faster;
-    texts with a special token's name go through the tokenizer itself."""
+    texts with a special token's name go through the tokenizer itself, which is kept in memory
+    from the first such text on."""
     import base64
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    special = [token.content for token in whole.get_added_tokens_decoder().values()]
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    special = [token.content for token in added.values()]
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     plain = tiktoken.Encoding(
@@ -58,7 +66,7 @@ def encoder(path: str):
 
     def encode(text: str) -> list[int]:
         if any(name in text for name in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole_tokenizer(path).encode(text, add_special_tokens=False).ids
         return plain.encode_ordinary(text)
 
     return encode
@@ -70,10 +78,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID):
+def narrowed(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones if they all fit."""
+    numbers = np.frombuffer(ids, "<u4")
+    return numbers.astype("<u2").tobytes() if len(ids) and numbers.max() < 1 << 16 else ids
+
+
+def widened(pieces: DataFrame) -> DataFrame:
+    """pieces whose ids are all 32-bit numbers again; a piece's length tells which ones are not."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                held = zip(part["ids"].to_pylist(), part["length"].to_pylist(), strict=True)
+                wide = [
+                    np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
+                    for ids, length in held
+                ]
+                place = part.schema.get_field_index("ids")
+                yield part.set_column(place, "ids", pa.array(wide, pa.binary()))
+
+    return pieces.mapInArrow(widen, pieces.schema)
+
+
+def token_pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, narrow: bool = False
+):
     """(pid, doc_id, piece, start, length, ids): the documents' ids in pieces; ids are packed as
-    little-endian unsigned 32-bit numbers. pid numbers the pieces. Of a long document the first
-    piece takes the rest, all others are full."""
+    little-endian unsigned 32-bit numbers, with narrow as 16-bit ones in pieces whose ids all fit
+    (`widened` undoes it). pid numbers the pieces. Of a long document the first piece takes the
+    rest, all others are full."""
     fields = [
         T.StructField("pid", T.LongType()),
         T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -101,7 +136,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                         pieces.append(piece)
                         starts.append(start)
                         lengths.append(stop - start)
-                        ids.append(packed[4 * start : 4 * stop])
+                        held = packed[4 * start : 4 * stop]
+                        ids.append(narrowed(held) if narrow else held)
                         start = stop
                 pids = np.arange(next_pid, next_pid + len(rows))
                 next_pid += len(rows)
@@ -348,9 +384,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS) ->
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: its ids, and its sequence and place there."""
-    pieces = saved(token_pieces(docs, path, capacity), "packing-pieces")
-    return pieces.join(pack(pieces, capacity), "pid")
+    """One row per piece: its ids, and its sequence and place there. The ids are stored and
+    shuffled in half the bytes."""
+    pieces = saved(token_pieces(docs, path, capacity, narrow=True), "packing-pieces")
+    return widened(pieces.join(pack(pieces, capacity), "pid"))
 
 
 def op1_grouping_genetic_packing(spark, sf_dir: str) -> DataFrame:

@@ -6,14 +6,14 @@ import numpy as np
 import xxhash
 
 SHINGLE_WORDS = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 STRETCH = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
-    """Hash of a word; a memory of bounded size."""
+    """Hash of a word; a memory of bounded size, as every worker that Spark keeps holds one (some 20 MB)."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:

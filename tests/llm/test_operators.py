@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on a table with every awkward case."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -116,6 +117,34 @@ def test_special_token_names_go_through_the_tokenizer():
     assert packing.encoder(packing.tokenizer_path())(text) == tool.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_are_stored_in_half_the_bytes(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    rows = [(i, " ".join(f"word{i * j}" for j in range(400))) for i in range(30)] + [(30, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs, stored = spark.read.parquet(path), {}
+
+    def held(rows, name, plan=packing.saved):
+        return stored.setdefault(name, plan(rows, name))
+
+    plain = packing.token_pieces(docs, packing.tokenizer_path()).collect()
+    with monkeypatch.context() as patch:
+        patch.setattr(packing, "saved", held)
+        got = packing.pack_documents(docs, packing.tokenizer_path()).collect()
+    assert {(r.doc_id, r.piece, r.length, bytes(r.ids)) for r in got} == {
+        (r.doc_id, r.piece, r.length, bytes(r.ids)) for r in plain
+    }
+    small = stored["packing-pieces"].selectExpr("sum(length(ids)) / sum(length)").first()[0]
+    assert small == 2
+
+
+def test_ids_beyond_16_bits_stay_whole(spark):
+    large, small = (np.array([65_535 + i, 7], "<u4").tobytes() for i in (1, 0))
+    rows = [(1, 2, packing.narrowed(large)), (2, 2, packing.narrowed(small))]
+    assert [len(ids) for _, _, ids in rows] == [8, 4]
+    pieces = spark.createDataFrame(rows, "pid long, length long, ids binary")
+    assert {r.pid: bytes(r.ids) for r in packing.widened(pieces).collect()} == {1: large, 2: small}
+
+
 def test_genetic_packing_beats_or_equals_best_fit():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(150, 500, 800))[::-1].astype(np.int64)
@@ -260,6 +289,16 @@ def test_language(spark, docs, empty, tmp_path):
     assert {r.lang_pred for r in no_labels.collect()} == {"und"}
 
 
+def test_a_model_travels_without_its_gram_table():
+    texts = [sentence(i, 30) for i in range(8)]
+    model = language.fit(["a", "b"], np.arange(8) % 2, [language.presence(text) for text in texts])
+    before, _ = model.scores(texts)
+    sent = pickle.dumps(model)
+    assert len(sent) < language.GRAMS
+    after, _ = pickle.loads(sent).scores(texts)
+    assert (before == after).all()
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).where(language.held_out()).select("lang", "lang_pred").collect()
