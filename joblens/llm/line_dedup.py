@@ -36,8 +36,14 @@ HASH_BITS = 54
 RANKS_PER_DOUBLING = 4
 #: A bucket with this many times the mean count is frequent.
 FREQUENT = 4
-#: So many tokens of a line look for the earliest line that shares them.
-RAREST = 3
+#: So many tokens of a line, and so many of its sketch's chunks of so many bits, look for the earliest
+#: lines that share them, one of each of DEALT parts.
+RAREST = 2
+CHUNKS = 3
+CHUNK_BITS = 24
+DEALT = 4
+#: Chunks with fewer bits set are those of short lines and shared by unrelated ones.
+CHUNK_SET = 3
 #: Words of the bit table of asked-for lines, and of the wide sketch of a line.
 WORDS = 1 << 16
 WIDE = 16
@@ -203,17 +209,29 @@ def near_enough(
 
 
 def star_pairs(found: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b), ids: a class and the earliest of those that share one of its rarest tokens, so as
-    many pairs as tokens at most. Most copies of a line are settled by these."""
+    """(a, b), ids: a class and the earliest of those that share one of its rarest tokens or chunks of
+    its sketch. Those that share one are dealt to DEALT parts by hash, and each part has an earliest
+    one, so a class is in (RAREST + CHUNKS) * DEALT pairs at most. The rarest tokens of a line of a
+    large group of near copies may be its own, but a chunk is equal in many lines of the group; so
+    most copies are settled by pairs whose number grows with the group, not with its square."""
+
+    def chunk(number: int) -> Column:
+        word, place = ("sketch", "sketch2")[number % 2], number // 2 * CHUNK_BITS
+        bits = F.shiftrightunsigned(word, place).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
+        return F.when(F.bit_count(bits) >= CHUNK_SET, F.hash(F.lit(number), bits))
+
+    chunks = F.array_compact(F.array(*[chunk(number) for number in range(CHUNKS)]))
     rare = found.select(
-        F.explode(F.slice("prefix", 1, RAREST)).alias("key"),
+        F.explode(F.concat(F.slice("prefix", 1, RAREST), chunks)).alias("key"),
         F.struct(F.col("first.ord").alias("ord"), "id", "size", "sketch", "sketch2").alias("x"),
     )
-    stars = rare.groupBy("key").agg(F.min("x").alias("y"))
+    part = F.pmod(F.xxhash64("x.id"), F.lit(DEALT)).alias("part")
+    stars = rare.groupBy("key", part).agg(F.min("x").alias("y"))
     met = rare.join(stars, "key")
-    other = F.col("x.id") != F.col("y.id")
+    # lines of one document have one ord, which the id tells apart
+    earlier = F.struct("y.ord", "y.id") < F.struct("x.ord", "x.id")
     return (
-        met.where(other & near_enough("x", "y", F.col("x.size"), F.col("y.size"), similar))
+        met.where(earlier & near_enough("x", "y", F.col("x.size"), F.col("y.size"), similar))
         .select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
         .distinct()
     )

@@ -488,6 +488,31 @@ def test_line_dedup_with_frequent_tokens(spark, tmp_path):
     assert Counter(map(tuple, got)) == Counter(plain_line_dedup(rows))
 
 
+def test_a_group_of_near_lines_is_settled_without_all_its_pairs(spark, tmp_path, monkeypatch):
+    """Lines that differ in their rarest tokens, but share the others."""
+    count, rng = 300, np.random.default_rng(4)
+    rows = []
+    for i in range(count):
+        words = [f"common{j}" for j in range(60)]
+        for j in rng.choice(60, 3, replace=False):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    path = str(tmp_path / "group")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    made = {}
+
+    def counted(table, name, plan=line_dedup.saved):
+        stored = plan(table, name)
+        made[name] = stored.count()
+        return stored
+
+    with monkeypatch.context() as patch:
+        patch.setattr(line_dedup, "saved", counted)
+        got = line_dedup.dedup_lines(spark.read.parquet(path)).select("row.doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_line_dedup(rows))
+    assert made["line-stars"] + made["line-pairs"] < 20 * count
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.fingerprint_documents(docs).collect()
     assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter((i, len(t)) for i, t in by_text(docs))
